@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookwright.llm import copies, encoding, lookalikes, mixing, splitting
+from bookwright.llm import copies, encoding, lookalikes, mixing, neardup, neighbors, splitting
 from bookwright.sources.tables import table
 
 #: Folder of the public vocabularies.
@@ -15,6 +15,18 @@ TOKENIZERS = os.environ.get("BOOKWRIGHT_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbors.vectors(table(spark, folder, "chunks", "id", "document_id", "embedding"), table(spark, folder, "documents", "doc_id", "collection"), table(spark, folder, "collections"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbors.similar_pairs(_vectors(spark, folder))
+
+
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbors.neighbours(_vectors(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(table(spark, folder, "chunks", "id", "text"))
 
@@ -31,6 +43,14 @@ def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     return copies.records(table(spark, folder, "chunks", "id", "text"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, folder, "chunks", "id", "text"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(table(spark, folder, "chunks", "id", "text"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(table(spark, folder, "documents", "doc_id", "text"), VOCABULARY)
 
@@ -52,7 +72,7 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_records, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_records, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical)}
 
 
 def oracle_sql() -> dict[str, str]:
