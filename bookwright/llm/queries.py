@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookwright.llm import copies, encoding, lookalikes, mixing, neardup, neighbors, splitting
+from bookwright.llm import copies, encoding, lookalikes, mixing, neardup, neighbors, ocr_repair, splitting
 from bookwright.sources.tables import table
 
 #: Folder of the public vocabularies.
@@ -15,6 +15,19 @@ TOKENIZERS = os.environ.get("BOOKWRIGHT_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
+def _scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, folder, "chunks", "id", "document_id", "text", "section_title", "heading_path", "page_start", "page_end")
+    return chunks, table(spark, folder, "documents", "doc_id", "ocr_used", "source_name")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr_repair.noise(*_scans(spark, folder))
+
+
+def p1_text(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr_repair.repaired(*_scans(spark, folder))
+
+
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return neighbors.vectors(table(spark, folder, "chunks", "id", "document_id", "embedding"), table(spark, folder, "documents", "doc_id", "collection"), table(spark, folder, "collections"))
 
@@ -72,7 +85,7 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_records, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_records, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -89,6 +89,8 @@ def cut_range(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             if measure(p, b) > overlap:
                 break
             back = p
+        if back == b:  # no boundary so near: share what fits, cut anywhere
+            back = next((p for p in range(max(a + 1, b - 4 * overlap), b) if measure(p, b) <= overlap), b)
         a = back
 
 
