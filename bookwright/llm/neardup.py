@@ -160,21 +160,22 @@ def class_pairs(chunks: DataFrame, least: float = SIMILARITY, run: int = RUN, id
     """Pairs of classes (``a`` < ``b``, ``similarity``) and membership (``id``, ``rep``).
 
     A class is all texts of one word sequence, ``rep`` its least id. Null ids and
-    texts and texts of fewer than ``run`` words take no part; a repeated id
-    counts once.
+    texts and texts of fewer than ``run`` words take no part; a repeated row
+    counts once, and an id with several texts is similar if one of them is.
     """
     rows = chunks.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null")
     signed = cut(_signed(rows, run))
     kinds = signed.groupBy("w1", "w2", "record").agg(F.min("id").alias("rep"))
     members = cut(signed.select("id", "w1", "w2", "record").join(kinds, ["w1", "w2", "record"]).select("id", "rep").distinct())
-    heads = signed.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    heads = cut(signed.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "s1", "s2", "left", "right"))
     tables = heads.select("id", "s1", "s2", "left", F.posexplode("right").alias("j", "r")).select("id", "s1", "s2", "j", "r", F.posexplode("left").alias("i", "l"))
     keyed = tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "s1", "s2").repartition("key")
     a = keyed.select("key", F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
     b = keyed.select("key", F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     met = cut(a.join(b, "key").where((F.col("a") < F.col("b")) & (apart <= BITS - _least_common_bits(least))).select("a", "b").distinct())
-    return cut(_verified(met, rows.dropDuplicates(["id"]), least, run)), members
+    verified = _verified(met, rows, least, run).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return cut(verified), members
 
 
 def similar_pairs(chunks: DataFrame, least: float = SIMILARITY, run: int = RUN) -> DataFrame:
