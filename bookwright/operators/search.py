@@ -144,7 +144,7 @@ def phrase_hits(index: WordIndex, phrase: tuple[str, ...]) -> DataFrame:
     """``key``, ``tf``: chunks with the phrase, and how often."""
     hits = index.postings.where(F.col("term") == phrase[0]).select(index.key, "places")
     for n, part in enumerate(phrase[1:], 1):
-        other = index.postings.where(F.col("term") == part).select(index.key, F.transform("places", lambda p, n=n: p - n).alias("at"))
+        other = index.postings.where(F.col("term") == part).select(index.key, F.expr(f"transform(places, p -> p - {n})").alias("at"))
         hits = hits.join(other, index.key).select(index.key, F.array_intersect("places", "at").alias("places")).where(F.size("places") > 0)
     return hits.select(index.key, F.size("places").alias("tf"))
 

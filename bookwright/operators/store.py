@@ -21,14 +21,16 @@ from pyspark.sql import types as T
 from bookwright.errors import EmbedderMismatch
 from bookwright.operators import listing
 
-DOCUMENTS = T.StructType.fromDDL(
-    "doc_id bigint, collection string, source_path string, source_name string, source_hash string, total_pages int, total_chunks int, ocr_used int, ocr_pages_skipped int, tags array<string>, added_at timestamp"
-)
-CHUNKS = T.StructType.fromDDL(
-    "id bigint, document_id bigint, seq int, chunk_id string, text string, token_count int, page_start int, page_end int, section_title string, heading_path array<string>, embedding array<float>"
-)
-EXPORTS = T.StructType.fromDDL("target string, collection string, item string")
-COLLECTIONS = T.StructType.fromDDL("name string, embedder string, dim int, created_at timestamp")
+
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+_LONG, _INT, _TEXT, _LIST, _TIME = T.LongType(), T.IntegerType(), T.StringType(), T.ArrayType(T.StringType()), T.TimestampType()
+DOCUMENTS = _schema(doc_id=_LONG, collection=_TEXT, source_path=_TEXT, source_name=_TEXT, source_hash=_TEXT, total_pages=_INT, total_chunks=_INT, ocr_used=_INT, ocr_pages_skipped=_INT, tags=_LIST, added_at=_TIME)
+CHUNKS = _schema(id=_LONG, document_id=_LONG, seq=_INT, chunk_id=_TEXT, text=_TEXT, token_count=_INT, page_start=_INT, page_end=_INT, section_title=_TEXT, heading_path=_LIST, embedding=T.ArrayType(T.FloatType()))
+EXPORTS = _schema(target=_TEXT, collection=_TEXT, item=_TEXT)
+COLLECTIONS = _schema(name=_TEXT, embedder=_TEXT, dim=_INT, created_at=_TIME)
 BUCKETS = 64
 
 
