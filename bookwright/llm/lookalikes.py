@@ -68,8 +68,10 @@ def mapping() -> dict[str, str]:
 
 @lru_cache(maxsize=1)
 def _marks() -> str:
-    marks = (c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c) and c not in mapping())
-    return _ranges(marks)
+    """Characters that join the one before, as they are or by what they become."""
+    table = mapping()
+    own = (c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(table.get(c, c)[:1] or " "))
+    return _ranges(own)
 
 
 def _ranges(chars) -> str:
@@ -93,7 +95,7 @@ def _transducer():
     pattern = re.compile(
         rf"[{pictures}][\ufe0f\U0001f3fb-\U0001f3ff]*(?:\u200d[{pictures}][\ufe0f\U0001f3fb-\U0001f3ff]*)+"
         rf"|[{viramas}][{JOINERS}]"
-        rf"|[^\s](?:[{silent}{JOINERS}]*[{_marks()}])+"
+        rf"|[^\s](?:[{silent}{JOINERS}]*[{_marks()}])+(?:(?<=[{viramas}])[{JOINERS}])?"
         rf"|[\u1100-\u115f\ua960-\ua97c][\u1160-\u11a7][\u11a8-\u11ff]?"
         rf"|[{changing}]"
     )
@@ -103,6 +105,8 @@ def _transducer():
     def cluster(found: str) -> str:
         if len(found) == 1:
             return table.get(found, found)
+        if found[-1] in JOINERS and found[-2] in kept and len(found) > 2:
+            return cluster(found[:-1]) + found[-1]
         if found[0] in kept or ("\u200d" in found and not any(unicodedata.combining(c) for c in found)):
             return found.replace("\ufe0f", "")
         decomposed = unicodedata.normalize("NFD", "".join(table.get(c, c) for c in found))

@@ -28,7 +28,7 @@ RANGE, HALO = 1 << 16, 2048
 #: White space as Python's str.split sees it, for patterns of Java.
 BLANK = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 HEADING, PARAGRAPH, LINE, SENTENCE, WORD = 5, 4, 3, 2, 1
-_BREAKS = re.compile(r"(?P<h>\n\s*(?=#{1,6}\s))|(?P<p>\n[^\S\n]*\n\s*)|(?P<l>\n[^\S\n]*)|(?P<s>(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])\s*)|(?P<w>\s+)")
+_BREAKS = re.compile(r"(?P<h>[^\S\n]*\n\s*(?=#{1,6}\s))|(?P<p>[^\S\n]*\n[^\S\n]*\n\s*)|(?P<l>[^\S\n]*\n[^\S\n]*)|(?P<s>(?<=[.!?…])[\"'”’)\]]*[^\S\n]+(?=\S)|(?<=[。！？])[^\S\n]*)|(?P<w>\s+)")
 _WORDS, _HEAD = re.compile(r"\S+"), re.compile(r"(?m)^#{1,6}\s+(.+?)\s*#*\s*$")
 _RANK = {"h": HEADING, "p": PARAGRAPH, "l": LINE, "s": SENTENCE, "w": WORD}
 
