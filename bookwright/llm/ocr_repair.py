@@ -158,10 +158,10 @@ def evidence(lines: list[tuple[str, bool]]) -> tuple[list[str], list[tuple[str,
 
 
 def scanned(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks with text of documents with ``ocr_used`` = 1, each id once, with ``source_name``."""
+    """Chunks with text of documents with ``ocr_used`` = 1, with ``source_name``."""
     docs = documents.where("ocr_used = 1 and doc_id is not null").select(F.col("doc_id").alias("document_id"), "source_name").dropDuplicates(["document_id"])
     given = chunks.select(F.col("id").cast("bigint").alias("id"), "document_id", F.col("text").cast("string").alias("text"), "section_title", "heading_path", "page_start", "page_end")
-    return given.where("id is not null and text is not null").join(docs, "document_id").drop("document_id").dropDuplicates(["id"])
+    return given.where("id is not null and text is not null").join(docs, "document_id").drop("document_id")
 
 
 def _evidence(ocr: DataFrame) -> DataFrame:
@@ -215,13 +215,13 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     pairs = [c.split() for c in CONFUSIONS]
     value = lambda s: sum((ord(c) % 1009) ** 5 for c in s)
     table = F.array(*[F.struct(F.lit(w).alias("wrong"), F.lit(r).alias("right"), F.lit(value(r) - value(w)).cast("bigint").alias("change")) for w, r in pairs])
-    known = words.join(counts, "word", "left").na.fill(0, ["n"]).withColumn("n", F.greatest("n", "scanned"))
-    rare = known.where((F.length("word") > 2) & F.col("word").rlike(r"\p{L}") & (F.col("n") - F.col("scanned") <= CLEAN * F.col("n")))
+    known = words.join(counts, "word", "left").na.fill(0, ["n"]).withColumn("n", F.greatest(F.lit(1), "n", "scanned"))
+    rare = known.where(((F.length("word") > 2) | F.col("word").rlike(r"^(\p{N}\p{L}|\p{L}\p{N})$")) & F.col("word").rlike(r"\p{L}") & (F.col("n") - F.col("scanned") <= CLEAN * F.col("n")))
     spread = rare.withColumn("c", F.explode(table)).where(F.contains("word", F.col("c.wrong"))).select("word", "n", "c.wrong", "c.right", F.pmod(anagram(F.col("word")) + F.col("c.change"), F.lit(_MODULUS)).alias("hash"))
     meant = counts.where(F.length("word") > 1).select(F.col("word").alias("meant"), F.col("n").alias("times"), anagram(F.col("word")).alias("hash"))
     places = F.sequence(F.lit(1), F.length("word") - F.length("wrong") + 1)
     fits = F.exists(places, lambda i: (F.substring("word", i, F.length("wrong")) == F.col("wrong")) & (F.concat(F.substring("word", F.lit(1), i - 1), F.col("right"), F.substring("word", i + F.length("wrong"), F.length("word"))) == F.col("meant")))
-    ratio = F.when(F.col("word").rlike(r"\p{N}"), RATIO_DIGIT).otherwise(RATIO)
+    ratio = F.when(F.col("word").rlike(r"\p{N}") & (F.length("word") > 2), RATIO_DIGIT).otherwise(RATIO)
     plain = ~F.col("meant").rlike(r"\p{N}")
     matched = spread.join(meant, "hash").where(plain & (F.col("times") >= ratio * F.col("n")) & (F.col("times") > 1) & fits)
     best = Window.partitionBy("word").orderBy(F.desc("times"), "meant")
@@ -230,9 +230,10 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
 
 def _decisions(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Scanned chunks, their evidence, what each split word is (``left``, ``right``, ``word``, ``joined``), and corrections."""
-    ocr = scanned(chunks, documents)
+    every = cut(scanned(chunks, documents))
+    ocr = every.dropDuplicates(["id"])
     seen = cut(_evidence(ocr))
-    words, pairs = vocabulary(chunks.select(F.col("text").cast("string").alias("text")).where("text is not null"))
+    words, pairs = vocabulary(chunks.select("id", F.col("text").cast("string").alias("text")).where("id is not null and text is not null"))
     words = cut(words)
     single = seen.select(F.explode("words").alias("word"))
     split = seen.select(F.explode("splits").alias("s")).groupBy("s.left", "s.right").agg(F.count("*").alias("times")).withColumn("word", F.concat("left", "right"))
@@ -240,7 +241,9 @@ def _decisions(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, Data
     left = words.select(F.col("word").alias("left"), F.col("n").alias("left_n"))
     right = words.select(F.col("word").alias("right"), F.col("n").alias("right_n"))
     weighed = split.join(found, "word", "left").join(pairs.withColumnRenamed("n", "pair_n"), ["left", "right"], "left").join(left, "left", "left").join(right, "right", "left").na.fill(0, ["joined_n", "pair_n", "left_n", "right_n"])
-    scanned_counts = single.unionByName(split.select("word")).groupBy("word").agg(F.count("*").alias("scanned"))
+    # Counted as the vocabulary is: a word misread twice in a chunk, or in a repeated row, counts twice in both.
+    in_scans = vocabulary(every)[0].withColumnRenamed("n", "scanned")
+    scanned_counts = single.unionByName(split.select("word")).distinct().join(in_scans, "word", "left").na.fill(0, ["scanned"])
     fixed = cut(corrections(scanned_counts, words))
     # A pair is one word if joined it is seen more, or seen neither way: then unless its parts are common words, or figures.
     unseen = (F.col("pair_n") == 0) & (F.col("joined_n") == 0) & F.col("meant").isNull()

@@ -56,8 +56,8 @@ def test_copies_are_no_pairs(spark):
 
 
 def test_chains_are_one_group(spark):
-    words = [f"w{n}" for n in range(60)]
-    texts = [" ".join(words[n * 3 : n * 3 + 20]) for n in range(12)]
+    words = [f"w{n}" for n in range(120)]
+    texts = [" ".join(words[n * 4 : n * 4 + 60]) for n in range(12)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     found = neardup.groups(df).collect()
     assert {r["group_id"] for r in found} == {0}

@@ -37,7 +37,7 @@ def library(spark):
     rows = [
         (1, 1, "The srnall clover cov-\ners the\n\n2\nGarden notes\n\ncorner 0f the garden.\n\nA read-\nonly list is adjusta-\nble.", "Beds", ["Garden notes", "Beds"], 1, 2),
         (2, 1, "The small list\nis long.", None, None, None, None),
-        (3, 1, "", "", [], 1, 1), (4, 1, None, "", [], 1, 1), (5, 2, clean, "", [], None, None), (6, 2, clean + " srnall", "", [], None, None), (None, 1, "srnall", "", [], 1, 1),
+        (3, 1, "", "", [], 1, 1), (4, 1, None, "", [], 1, 1), (5, 2, clean, "", [], None, None), (6, 2, clean, "", [], None, None), (None, 1, "srnall", "", [], 1, 1),
         (7, 1, "Readings:\n818\n827", "", ["Garden notes"], 1, 2), (1, 1, "The srnall clover cov-\ners the\n\n2\nGarden notes\n\ncorner 0f the garden.\n\nA read-\nonly list is adjusta-\nble.", "Beds", ["Garden notes", "Beds"], 1, 2),
     ]
     docs = spark.createDataFrame([(1, 1, "garden-notes.pdf"), (2, 0, "clean.md"), (3, None, None)], "doc_id long, ocr_used int, source_name string")
