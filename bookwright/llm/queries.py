@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bookwright.llm import copies, encoding, lookalikes, mixing, neardup, neighbors, ocr_repair, splitting
+from bookwright.llm.oracle import SQL
 from bookwright.sources.tables import table
 
 #: Folder of the public vocabularies.
@@ -89,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
