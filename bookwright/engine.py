@@ -134,8 +134,10 @@ class Engine:
         return exporting.scan(self.store.chunks([collection]), self.store.documents([collection]))
 
     def export_folder(self, collection: str, path: str) -> None:
-        """Chunks as JSON lines, one folder for each document."""
-        self._scan(collection).drop("embedding").write.partitionBy("source_name").mode("overwrite").json(path)
+        """Chunks as JSON lines, one folder for each document; beside them a manifest of documents and the settings."""
+        self._scan(collection).drop("embedding").write.partitionBy("source_name").mode("overwrite").json(f"{path}/chunks")
+        exporting.manifest(self.store.chunks([collection]), self.store.documents([collection])).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+        self.spark.createDataFrame([(self.config.to_toml(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
     def export_table(self, collection: str, url: str, table: str, **options: str) -> None:
         """Chunks to a table of a database."""

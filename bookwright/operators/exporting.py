@@ -80,6 +80,13 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def manifest(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row for each document: what was written, and how large it is."""
+    made = chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"))
+    shown = documents.select("doc_id", "collection", "source_path", "source_name", "source_hash", "total_pages", F.col("ocr_used").cast("boolean").alias("ocr_used"), "ocr_pages_skipped", "tags", "added_at")
+    return shown.join(made, "doc_id", "left").na.fill(0, ["chunks", "tokens"]).drop("doc_id")
+
+
 def library_rows(chunks: DataFrame, owner: str, book: Column, kind: Column) -> DataFrame:
     """Rows of a library table from a scan of chunks."""
     if not UUID.fullmatch(owner):

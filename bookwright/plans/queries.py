@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookwright.functions import text as fn
+from bookwright.functions.embedding import HashingEmbedder, embed
 from bookwright.functions.markup import html_text
 from bookwright.operators import blocks, changes, chunking, cleaning, exporting, listing, rows, search
 from bookwright.sources.tables import table
@@ -545,3 +546,16 @@ def export_counts(spark: SparkSession, folder: str) -> DataFrame:
 def hits_as_json(spark: SparkSession, folder: str) -> DataFrame:
     chunks, docs = table(spark, folder, "chunks"), table(spark, folder, "documents")
     return exporting.as_json(search.search(chunks, docs, _index(spark, folder), SEARCHED, None, k=10, mode="keyword"))
+
+
+@registered("""
+with m as (select document_id as doc_id, count(*) as chunks, sum(token_count)::bigint as tokens, min(page_start) as first_page, max(page_end) as last_page from chunks group by 1)
+select collection, source_path, source_name, total_pages, ocr_used = 1 as ocr_used, coalesce(chunks, 0) as chunks, coalesce(tokens, 0) as tokens, first_page, last_page from documents left join m using (doc_id)""")
+def export_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    found = exporting.manifest(table(spark, folder, "chunks"), table(spark, folder, "documents"))
+    return found.select("collection", "source_path", "source_name", "total_pages", "ocr_used", "chunks", "tokens", "first_page", "last_page")
+
+
+@registered()
+def hashed_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embed(table(spark, folder, "chunks", "id", "text"), HashingEmbedder(64), "text").select("id", "embedding")

@@ -154,7 +154,11 @@ def test_library_export(spark, tmp_path, server):
 
 def test_folder_export(spark, engine, tmp_path):
     engine.export_folder("default", str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == engine.store.chunks().count()
+    out = str(tmp_path / "out")
+    assert spark.read.json(f"{out}/chunks").count() == engine.store.chunks().count()
+    written = {r["source_name"]: r["chunks"] for r in spark.read.json(f"{out}/manifest").collect()}
+    assert written == {r["source_name"]: r["total_chunks"] for r in engine.documents("default").collect()}
+    assert Config.from_toml("\n".join(r["value"] for r in spark.read.text(f"{out}/config").collect())) == engine.config
 
 
 def test_literals_and_json(spark):
