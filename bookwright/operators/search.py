@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookwright.functions.stemming import terms
 from bookwright.functions.stemming import term as index_term
+from bookwright.functions.stemming import terms
+from bookwright.functions.text import citation, snippet
 
 #: BM25's constants, the least inverse document frequency, and the constant of rank fusion.
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
@@ -216,6 +217,13 @@ def hits(top: DataFrame, chunks: DataFrame, documents: DataFrame, key: str = "id
     )
 
 
+def rendered(found: DataFrame) -> DataFrame:
+    """``rank``, ``chunk_id`` and ``shown``: a hit's citation, id and the beginning of its text."""
+    cited = citation(F.col("source_name"), F.col("page_start"), F.col("page_end"), F.col("heading_path"))
+    body = F.regexp_replace(snippet(F.coalesce("text", F.lit(""))), "\n", "\n    ")
+    return found.select("rank", "chunk_id", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), cited, F.lit(" ("), F.col("chunk_id"), F.lit(")\n    "), body).alias("shown"))
+
+
 def search(chunks: DataFrame, documents: DataFrame, index: WordIndex | None, query: str, vector: Sequence[float] | None, k: int = 5, mode: str = "hybrid", collections: Sequence[str] | None = None) -> DataFrame:
     """The ``k`` best hits of a query in a mode. Blank queries, and unknown words by keyword, have none."""
     if mode not in MODES:

@@ -400,6 +400,17 @@ def vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(chunks, docs, None, "by vector", _query_vector(spark, folder), k=10, mode="vector").select("chunk_id", "rank", "score")
 
 
+@registered(f"""
+with {_BM25}, k as (select id, row_number() over (order by round(s, 9) desc, id) as kr from b order by round(s, 9) desc, id limit 10)
+select kr::int as rank, chunk_id, '[' || kr || '] ' || d.source_name || case when coalesce(page_start, 0) <> 0 then ', p.' || page_start || case when coalesce(page_end, 0) <> 0 and page_end <> page_start then '–' || page_end else '' end else '' end
+  || case when len(heading_path) > 0 then ' › ' || array_to_string(heading_path, ' › ') else '' end || ' (' || chunk_id || ')' || chr(10) || '    '
+  || replace(case when length(c.text) > 400 then substr(c.text, 1, 400) || '…' else c.text end, chr(10), chr(10) || '    ') as shown
+from k join chunks c using (id) join documents d on d.doc_id = c.document_id""")
+def hits_as_text(spark: SparkSession, folder: str) -> DataFrame:
+    chunks, docs = table(spark, folder, "chunks"), table(spark, folder, "documents")
+    return search.rendered(search.search(chunks, docs, _index(spark, folder), SEARCHED, None, k=10, mode="keyword"))
+
+
 @registered("""
 with o as (select document_id, seq from chunks where chunk_id = (select max(chunk_id) from chunks))
 select c.chunk_id, c.seq, d.collection, d.source_path, 0.0::double as score from chunks c join o on c.document_id = o.document_id and abs(c.seq - o.seq) <= 2 join documents d on d.doc_id = c.document_id""")

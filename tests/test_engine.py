@@ -12,6 +12,7 @@ from bookwright.errors import EmbedderMismatch, EmbeddingUnavailable, ExportErro
 from bookwright.functions.embedding import HashingEmbedder, HttpEmbedder, embed, resolve, shortened
 from bookwright.operators import exporting
 from bookwright.operators.rows import RowMapping
+from bookwright.tools import Tools
 from bookwright.streaming.ingest import ITEMS, arrivals, ingest_stream
 
 OWNER = "00000000-0000-4000-8000-000000000001"
@@ -229,3 +230,18 @@ def test_stream(spark, tmp_path):
     query = arrivals(stream).writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "check2")).start()
     query.awaitTermination(120)
     assert sorted(r["documents"] for r in spark.table("arrivals").collect()) == [2, 2]
+
+
+def test_tools(engine, folder, tmp_path):
+    tools = Tools(engine, [str(folder)])
+    assert "routers.md" in tools.search_knowledge("reset the router", k=99).split("\n")[0]
+    assert tools.search_knowledge(" ") == "No results."
+    first = engine.store.chunks().where("seq = 0").orderBy("id").collect()[0]["chunk_id"]
+    assert tools.read_chunk(first, 99)
+    assert "2 documents" in tools.list_collections()
+    assert "baking.txt (1 chunks, home)" in tools.list_documents()
+    assert "unchanged" in tools.ingest_documents([str(folder / "baking.txt")])
+    (tmp_path / "link.md").symlink_to("/etc/hostname")
+    with pytest.raises(PermissionError):
+        tools.ingest_documents([str(tmp_path / "link.md")])
+    assert tools.remove_document("none") == "Removed 0."
