@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str methods see it, for the inside of a class of a Java pattern.
 SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Everything else, likely characters first.
+SOLID = r"!-~\x{a1}-\x{167f}\x{0}-\x{8}\x{e}-\x{1b}\x{7f}-\x{84}\x{86}-\x{9f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}"
 PATH_MARK = " › "
 #: Runs of letters below which a page with images counts as a scan.
 WEAK_PAGE_WORDS = 10
@@ -25,8 +27,9 @@ def stripped(text: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """The larger of a quarter of the characters and 1.3 times the words, rounded down; 0 for blank, null for null."""
-    n = F.size(words(text))
-    return F.when(text.isNull(), F.lit(None)).when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 4), F.floor(n * 13 / 10))).cast("int")
+    n = F.regexp_count(text, F.lit(f"[{SOLID}]++"))
+    # Without a branch, so that the words are counted once.
+    return ((n > 0).cast("int") * F.greatest(F.lit(1), F.floor(F.length(text) / 4), F.floor(n * 13 / 10))).cast("int")
 
 
 def content_hash(text: Column) -> Column:
