@@ -9,7 +9,8 @@ content itself, which is part of the grouping key once only groups of two or
 more are left. Everything is built from Spark's own functions.
 
 Null ids and null texts take no part; texts without any letter or digit are
-no copies of anything.
+no copies of anything. A row repeated under its id counts once; of several texts
+under one id the least counts.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def text_copies(chunks: DataFrame, id_column: str = "id", text_column: str = "te
     that lost its colons), so the least id is passed on along both until nothing
     changes: twice as a rule, since leaf groups meet in one record group.
     """
-    rows = chunks.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null").dropDuplicates(["id"])
+    rows = chunks.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null").groupBy("id").agg(F.min("text").alias("text"))
     keyed = rows.select("id", F.sha2(F.nullif(leaf(F.col("text")), F.lit("")), 256).alias("leaf"), record_root(F.col("text")).alias("record")).where("leaf is not null")
     keyed = cut(keyed)
     by_leaf = _confirmed(rows, keyed.select("id", F.col("leaf").alias("root")), leaf(F.col("text")))

@@ -149,13 +149,14 @@ def pieces(df: DataFrame, limit: int = 512, overlap: int = 64, id_column: str =
     ``start`` and ``end`` are offsets in characters of the whole text. Pieces
     are at most ``limit`` large and share up to ``overlap`` tokens with the one
     before. A heading line at the start of a piece, or above it in its range,
-    is added to the heading path of the text. The text of a row that needs no
-    cut is its one piece. Null ids take no part.
+    is added to the heading path of the text. A text that needs no cut is its own
+    piece. Null ids take no part.
     """
     if limit < 16 or not 0 <= overlap <= limit // 2:
         raise ValueError("limit is at least 16 and overlap at most half of it")
     path = F.col(path_column).cast("array<string>") if path_column in df.columns else F.array().cast("array<string>")
     rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(path, F.array()).alias("path")).where("id is not null")
+    rows = rows.withColumn("h", F.xxhash64("text")).groupBy("id", "h").agg(F.min("text").alias("text"), F.min("path").alias("path")).drop("h")
     halo = min(HALO, width // 4)
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("start", T.LongType()),
