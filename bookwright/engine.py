@@ -106,7 +106,7 @@ class Engine:
         names = listing.searchable(self.store.collections(), self.embedder.name, collection)
         every = self.store.chunks()
         vector = self.embedder.query(query).tolist() if mode != "keyword" and query.strip() else None
-        index = search.word_index(every) if mode != "vector" else None
+        index = self.store.index() if mode != "vector" else None
         return search.search(every, self.store.documents(), index, query, vector, k, mode, names)
 
     def read(self, chunk_id: str, neighbours: int = 1, collection: str | None = None) -> DataFrame:

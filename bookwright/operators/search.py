@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,14 +124,17 @@ class WordIndex:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def word_index(chunks: DataFrame, key: str = "id", text: str = "text", title: str | None = "section_title", stemmed: bool = True) -> WordIndex:
-    """The index of text and title; null counts as empty, and a place between the two keeps phrases apart."""
+def word_index(chunks: DataFrame, key: str = "id", text: str = "text", title: str | None = "section_title", stemmed: bool = True, carried: tuple[str, ...] = ()) -> WordIndex:
+    """The index of text and title; null counts as empty, and a place between the two keeps phrases apart.
+
+    ``carried`` are columns of a chunk that both tables keep.
+    """
     found = terms(F.col(text), stemmed)
     if title:
         found = F.concat(found, F.array(F.lit(None).cast("string")), terms(F.col(title), stemmed))
-    rows = chunks.where(F.col(key).isNotNull()).select(F.col(key), found.alias("terms"))
-    lengths = rows.select(key, F.size(F.array_compact("terms")).alias("n"))
-    postings = rows.select(key, F.posexplode("terms").alias("place", "term")).where("term is not null").groupBy("term", key).agg(F.sort_array(F.collect_list("place")).alias("places"))
+    rows = chunks.where(F.col(key).isNotNull()).select(key, *carried, found.alias("terms"))
+    lengths = rows.select(key, *carried, F.size(F.array_compact("terms")).alias("n"))
+    postings = rows.select(key, *carried, F.posexplode("terms").alias("place", "term")).where("term is not null").groupBy("term", key, *carried).agg(F.sort_array(F.collect_list("place")).alias("places"))
     return WordIndex(postings, lengths, key, stemmed)
 
 
@@ -160,10 +164,12 @@ def keyword_scores(index: WordIndex, query: str) -> DataFrame | None:
     wanted = phrases(query, index.stemmed)
     if not wanted:
         return None
-    hits = None
-    for n, phrase in enumerate(wanted):
-        own = phrase_hits(index, phrase).withColumn("phrase", F.lit(n))
-        hits = own if hits is None else hits.unionByName(own)
+    # Single words in one scan of the postings, phrases by joins of theirs.
+    single = {p[0]: n for n, p in enumerate(wanted) if len(p) == 1}
+    number = F.create_map(*[F.lit(x) for pair in single.items() for x in pair]) if single else None
+    parts = [index.postings.where(F.col("term").isin(*single)).select(index.key, F.size("places").alias("tf"), number[F.col("term")].alias("phrase"))] if single else []
+    parts += [phrase_hits(index, p).withColumn("phrase", F.lit(n)) for n, p in enumerate(wanted) if len(p) > 1]
+    hits = reduce(DataFrame.unionByName, parts)
     # Of a few terms: one row each, broadcast with the one row of counts.
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), "phrase").join(index.lengths, index.key).crossJoin(F.broadcast(index.stats()))

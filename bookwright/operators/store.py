@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookwright.errors import EmbedderMismatch
-from bookwright.operators import listing
+from bookwright.operators import listing, search
 
 
 def _schema(**columns: T.DataType) -> T.StructType:
@@ -29,6 +29,8 @@ def _schema(**columns: T.DataType) -> T.StructType:
 _LONG, _INT, _TEXT, _LIST, _TIME = T.LongType(), T.IntegerType(), T.StringType(), T.ArrayType(T.StringType()), T.TimestampType()
 DOCUMENTS = _schema(doc_id=_LONG, collection=_TEXT, source_path=_TEXT, source_name=_TEXT, source_hash=_TEXT, total_pages=_INT, total_chunks=_INT, ocr_used=_INT, ocr_pages_skipped=_INT, tags=_LIST, added_at=_TIME)
 CHUNKS = _schema(id=_LONG, document_id=_LONG, seq=_INT, chunk_id=_TEXT, text=_TEXT, token_count=_INT, page_start=_INT, page_end=_INT, section_title=_TEXT, heading_path=_LIST, embedding=T.ArrayType(T.FloatType()))
+POSTINGS = _schema(term=_TEXT, id=_LONG, document_id=_LONG, places=T.ArrayType(_INT))
+LENGTHS = _schema(id=_LONG, document_id=_LONG, n=_INT)
 EXPORTS = _schema(target=_TEXT, collection=_TEXT, item=_TEXT)
 COLLECTIONS = _schema(name=_TEXT, embedder=_TEXT, dim=_INT, created_at=_TIME)
 BUCKETS = 64
@@ -80,7 +82,7 @@ class Store:
     def _read(self, kind: str, schema: T.StructType, names: Iterable[str] | None, only: set[int] | None = None, state: dict | None = None) -> DataFrame:
         state = state or self.state()
         kept = [c for n, c in state["collections"].items() if names is None or n in set(names)]
-        paths = [f"{self.root}/{p}" for c in kept for b, p in c[kind].items() if only is None or int(b) in only]
+        paths = [f"{self.root}/{p}" for c in kept for b, p in c.get(kind, {}).items() if only is None or int(b) in only]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def documents(self, names: Iterable[str] | None = None) -> DataFrame:
@@ -89,6 +91,11 @@ class Store:
     def chunks(self, names: Iterable[str] | None = None) -> DataFrame:
         return self._read("chunks", CHUNKS, names)
 
+    def index(self) -> search.WordIndex:
+        """The word index of all chunks, as kept with them; a term is looked up by pushing it to the scan."""
+        state = self.state()
+        return search.WordIndex(self._read("postings", POSTINGS, None, None, state), self._read("lengths", LENGTHS, None, None, state))
+
     def exports(self) -> DataFrame:
         path = self.state()["exports"]
         return self.spark.read.schema(EXPORTS).parquet(f"{self.root}/{path}") if path else self.spark.createDataFrame([], EXPORTS)
@@ -101,10 +108,10 @@ class Store:
         if own and (own["embedder"] != embedder or (dim is not None and own["dim"] not in (None, dim))):
             raise EmbedderMismatch(f"collection {name!r} was built with {own['embedder']} ({own['dim']} values), not {embedder} ({dim})")
 
-    def _written(self, rows: DataFrame, key: str, kind: str) -> dict[str, str]:
-        """Folders of the buckets that ``rows`` fill."""
+    def _written(self, rows: DataFrame, key: str, kind: str, order: str | None = None) -> dict[str, str]:
+        """Folders of the buckets that ``rows`` fill; files are in the order of ``order``, or of ``key``."""
         folder = f"{kind}/{uuid.uuid4().hex}"
-        rows.withColumn("bucket", bucket(F.col(key))).repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        rows.withColumn("bucket", bucket(F.col(key))).repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("bucket", order or key).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
         listed = self._path(folder).getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(self._path(folder))
         return {n.split("=")[1]: f"{folder}/{n}" for s in listed if (n := s.getPath().getName()).startswith("bucket=")}
 
@@ -122,10 +129,15 @@ class Store:
         old_chunks = self._read("chunks", CHUNKS, [name], touched, state)
         docs = old_docs.join(ids, "doc_id", "left_anti").select(*DOCUMENTS.names).unionByName(documents.select(*DOCUMENTS.names))
         kept = old_chunks.join(ids.withColumnRenamed("doc_id", "document_id"), "document_id", "left_anti").select(*CHUNKS.names).unionByName(chunks.select(*CHUNKS.names))
-        own = state["collections"].get(name) or {"embedder": embedder, "dim": dim, "created_at": datetime.now(UTC).isoformat(timespec="seconds"), "documents": {}, "chunks": {}}
+        own = state["collections"].get(name) or {"embedder": embedder, "dim": dim, "created_at": datetime.now(UTC).isoformat(timespec="seconds"), "documents": {}, "chunks": {}, "postings": {}, "lengths": {}}
         for kind, rows, key in (("documents", docs, "doc_id"), ("chunks", kept, "document_id")):
             untouched = {b: p for b, p in own[kind].items() if int(b) not in touched}
             own[kind] = untouched | self._written(rows, key, kind)
+        fresh = self._read("chunks", CHUNKS, [name], touched, {"collections": {name: own}})
+        index = search.word_index(fresh, carried=("document_id",))
+        for kind, rows, order in (("postings", index.postings.select(*POSTINGS.names), "term"), ("lengths", index.lengths.select(*LENGTHS.names), "id")):
+            untouched = {b: p for b, p in own.get(kind, {}).items() if int(b) not in touched}
+            own[kind] = untouched | self._written(rows, "document_id", kind, order)
         state["collections"][name] = own
         self._swap(state)
 

@@ -1,6 +1,10 @@
 """Every registered query against its SQL, over the smallest tables."""
 
 import os
+import re
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -10,6 +14,7 @@ from bookwright.plans import queries as core
 from tests.conftest import DATA
 
 FOLDER = f"{DATA}/sf0.001"
+ROOT = Path(__file__).resolve().parents[1]
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +53,13 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_core_stands_alone():
+    code = "import sys; sys.modules['bookwright.llm'] = None; import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(n.startswith('p1_') for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=60)
+    core_files = [p for p in (ROOT / "bookwright").rglob("*.py") if "llm" not in p.parts]
+    assert not [p for p in core_files if re.search(r"bookwright\.llm|from bookwright import llm", p.read_text())]
+
+
 def test_top_k_is_not_a_full_sort(spark):
     plan = core.queries()["vector_topk"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan

@@ -12,6 +12,7 @@ from bookwright.errors import EmbedderMismatch, EmbeddingUnavailable, ExportErro
 from bookwright.functions.embedding import HashingEmbedder, HttpEmbedder, embed, resolve, shortened
 from bookwright.operators import exporting
 from bookwright.operators.rows import RowMapping
+from bookwright.operators.search import word_index
 from bookwright.tools import Tools
 from bookwright.streaming.ingest import ITEMS, arrivals, ingest_stream
 
@@ -71,6 +72,14 @@ def test_search_finds_and_cites(engine):
     assert engine.search("   ").count() == 0
 
 
+def test_words_are_indexed_with_the_chunks(engine):
+    kept, made = engine.store.index(), word_index(engine.store.chunks())
+    assert sorted(map(tuple, kept.postings.select("term", "id", "places").collect())) == sorted(map(tuple, made.postings.select("term", "id", "places").collect()))
+    assert sorted(map(tuple, kept.lengths.select("id", "n").collect())) == sorted(map(tuple, made.lengths.collect()))
+    plan = kept.postings.where("term = 'router'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,router)" in plan
+
+
 def test_reading_around(engine):
     middle = engine.store.chunks().where("seq = 1").orderBy("id").collect()[0]["chunk_id"]
     assert [r["seq"] for r in engine.read(middle, 1).collect()] == [0, 1, 2]
