@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookwright.config import Config
@@ -21,7 +21,13 @@ from bookwright.sources.databases import read_query
 
 #: The collection that is used where none is named.
 DEFAULT = "default"
-OUTCOME = ["source_path", "status", "chunks", "pages", "pages_skipped", "error"]
+
+
+def _outcome(rows: DataFrame, status: Column, chunks: Column | None = None, pages: Column | None = None, skipped: Column | None = None, error: Column | None = None) -> DataFrame:
+    """Rows as outcomes of an ingest; counts that aren't given are 0."""
+    zero = F.lit(0)
+    counts = [(zero if c is None else c).alias(n) for n, c in (("chunks", chunks), ("pages", pages), ("pages_skipped", skipped))]
+    return rows.select("source_path", status.alias("status"), *counts, (F.lit(None).cast("string") if error is None else error).alias("error"))
 
 
 class Engine:
@@ -36,7 +42,7 @@ class Engine:
     # Ingest
 
     def ingest(self, paths: Iterable[str], collection: str = DEFAULT, tags: Sequence[str] = (), recursive: bool = False, force: bool = False) -> DataFrame:
-        """Adds or refreshes files; a row of OUTCOME for each. A file that can't be read is ``failed``, the others go on."""
+        """Adds or refreshes files; a row for each with its path, status, counts and error. A file that can't be read is ``failed``, the others go on."""
         self.store.ensure(collection, self.embedder.name)
         found = files.weak_pages(files.read_files(self.spark, files.discover(paths, recursive), self.ocr))
         read = cut(found.withColumn("collection", F.lit(collection)))
@@ -44,7 +50,10 @@ class Engine:
         clean = cleaning.clean_pages(paged.select("source_path", "p", F.col("page.text").alias("text")), ["source_path", "p"])
         pages = clean.groupBy("source_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]).alias("clean"))
         whole = read.join(pages, "source_path", "left").withColumn("texts", F.coalesce("clean", F.transform("pages", lambda p: p["text"])))
-        given = whole.select("collection", "source_path", "source_name", "source_hash", F.col("texts").alias("pages"), "paged", F.when(F.col("paged"), F.size("pages")).otherwise(0).alias("total_pages"), (F.col("ocr_pages") > 0).cast("int").alias("ocr_used"), F.col("skipped").alias("ocr_pages_skipped"), "error")
+        given = whole.select(
+            "collection", "source_path", "source_name", "source_hash", F.col("texts").alias("pages"), "paged", F.when(F.col("paged"), F.size("pages")).otherwise(0).alias("total_pages"),
+            (F.col("ocr_pages") > 0).cast("int").alias("ocr_used"), F.col("skipped").alias("ocr_pages_skipped"), "error",
+        )
         return self._put(given, collection, tags, force, None)
 
     def ingest_texts(self, items: DataFrame, collection: str = DEFAULT, tags: Sequence[str] = (), force: bool = False, sync_prefix: str | None = None) -> DataFrame:
@@ -57,7 +66,11 @@ class Engine:
         items = cut(rows.checked(items.select("source_path", "source_name", F.coalesce("text", F.lit("")).alias("text"))).withColumn("collection", F.lit(collection)))
         if sync_prefix is not None and (wrong := changes.outside(items, sync_prefix).take(1)):
             raise ValueError(f"{wrong[0]['source_path']!r} is outside the prefix {sync_prefix!r}")
-        given = items.select("collection", "source_path", "source_name", fn.content_hash(F.col("text")).alias("source_hash"), F.array("text").alias("pages"), F.lit(False).alias("paged"), F.lit(0).alias("total_pages"), F.lit(0).alias("ocr_used"), F.lit(0).alias("ocr_pages_skipped"), F.lit(None).cast("string").alias("error"))
+        zero = F.lit(0)
+        given = items.select(
+            "collection", "source_path", "source_name", fn.content_hash(F.col("text")).alias("source_hash"), F.array("text").alias("pages"), F.lit(False).alias("paged"),
+            zero.alias("total_pages"), zero.alias("ocr_used"), zero.alias("ocr_pages_skipped"), F.lit(None).cast("string").alias("error"),
+        )
         return self._put(given, collection, tags, force, sync_prefix)
 
     def ingest_query(self, dsn: str, query: str, mapping: rows.RowMapping, collection: str = DEFAULT, tags: Sequence[str] = (), sync: bool = True) -> DataFrame:
@@ -82,18 +95,20 @@ class Engine:
         )
         chunks = cut(embed(named, self.embedder, "__embedded").drop("__embedded"))
         counts = chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
-        now = F.current_timestamp()
-        new = fresh.join(counts, "doc_id", "left").select("doc_id", "collection", "source_path", "source_name", "source_hash", "total_pages", F.coalesce("n", F.lit(0)).alias("total_chunks"), "ocr_used", F.col("ocr_pages_skipped").cast("int").alias("ocr_pages_skipped"), "tags", now.alias("added_at"))
+        new = fresh.join(counts, "doc_id", "left").select(
+            "doc_id", "collection", "source_path", "source_name", "source_hash", "total_pages", F.coalesce("n", F.lit(0)).alias("total_chunks"),
+            "ocr_used", F.col("ocr_pages_skipped").cast("int").alias("ocr_pages_skipped"), "tags", F.current_timestamp().alias("added_at"),
+        )
         retagged = decided.where("error is null and status = 'retagged'").select("source_path", F.col("tags").alias("new_tags"))
         old = stored.join(retagged, "source_path").withColumn("tags", F.col("new_tags")).drop("new_tags")
         old_chunks = self.store.chunks([collection]).join(old.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
         gone = None if prefix is None else cut(changes.removed(decided.select("collection", "source_path"), stored, prefix))
-        outcomes = decided.where("error is null").join(new.select("source_path", "total_chunks"), "source_path", "left").select("source_path", "status", F.coalesce("total_chunks", "old_chunks").alias("chunks"), F.col("total_pages").alias("pages"), F.col("ocr_pages_skipped").alias("pages_skipped"), F.lit(None).cast("string").alias("error"))
-        bad = failed.select("source_path", F.lit("failed").alias("status"), F.lit(0).alias("chunks"), F.lit(0).alias("pages"), F.lit(0).alias("pages_skipped"), "error")
-        out = outcomes.unionByName(bad)
+        fine = decided.where("error is null").join(new.select("source_path", "total_chunks"), "source_path", "left")
+        out = _outcome(fine, F.col("status"), F.coalesce("total_chunks", "old_chunks"), F.col("total_pages"), F.col("ocr_pages_skipped"))
+        out = out.unionByName(_outcome(failed, F.lit("failed"), error=F.col("error")))
         if gone is not None:
-            out = out.unionByName(gone.select("source_path", F.lit("removed").alias("status"), F.col("total_chunks").alias("chunks"), F.lit(0).alias("pages"), F.lit(0).alias("pages_skipped"), F.lit(None).cast("string").alias("error")))
-        out = cut(out.select(*OUTCOME))
+            out = out.unionByName(_outcome(gone, F.lit("removed"), F.col("total_chunks")))
+        out = cut(out)
         if not out.where("status in ('added', 'updated', 'retagged', 'removed')").isEmpty():
             dim = int(self.embedder.query("dimension").shape[-1])
             self.store.replace(collection, self.embedder.name, dim, cut(new.unionByName(old.select(*new.columns))), chunks.unionByName(old_chunks.select(*chunks.columns)), gone)
