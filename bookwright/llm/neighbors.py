@@ -12,6 +12,11 @@ Equal vectors are one class from the start and are expanded at the end, so
 copies fill no bucket. A bucket with more than ``crowd`` classes is hashed again
 with half the width inside itself, for its members and for those who look into
 it, until it is small enough; the last level compares all that is left.
+
+Hashing finds neighbours above a floor. Without a floor, classes that have fewer
+than ``k`` above it are compared with all classes of their space: blocks of
+vectors meet blocks by matrix products, and each keeps its ``k`` best. That work
+grows with the square of the classes.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ TABLES, HASHES, PROBES, WIDTH, SEED = 10, 24, 3, 3.0, 20240229
 CROWD, LEVELS = 4096, 6
 #: Signs of a sketch, and copies up to which their ids are broadcast (8 MB); more are joined by a shuffle.
 BITS, FEW = 128, 1 << 20
+#: Similarity down to which hashing finds neighbours.
+FLOOR = 0.9
+#: Vectors of a block that asks and of one that is asked, blocks asked by one task, vectors multiplied at once on either side.
+ASKING, ASKED, SLAB, TILE = 1 << 13, 1 << 14, 32, (1 << 10, 1 << 12)
 
 
 @lru_cache(maxsize=16)
@@ -127,6 +136,94 @@ def candidates(classes: DataFrame, min_similarity: float, crowd: int = CROWD) ->
     return pairs.distinct()
 
 
+def _packed(classes: DataFrame, size: int) -> DataFrame:
+    """``space``, ``block``, ``dim``, ``reps`` and ``vectors`` (bytes) of blocks of about ``size`` classes, one partition for each block."""
+    counts = {r["space"]: r["n"] for r in classes.groupBy("space").agg(F.count("*").alias("n")).collect()}  # a row for each embedder
+    blocks = {space: -(-n // size) for space, n in counts.items()}
+    number = F.lit(1)
+    for space, n in blocks.items():
+        number = F.when(F.col("space") == space, n).otherwise(number)
+    schema = T.StructType([T.StructField("space", T.LongType()), T.StructField("block", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("reps", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [_flat(chunk) for chunk in table.column("vector").chunks]
+        dim = int(parts[0][2][0])
+        x = np.concatenate([flat[start[:, None] + np.arange(dim)] for flat, start, _ in parts])
+        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([dim], pa.int32()), pa.array([table.column("rep").to_numpy().astype(np.int64).tobytes()]), pa.array([x.astype(np.float32).tobytes()])], names=[f.name for f in schema])
+
+    rows = classes.select("rep", "space", "vector", F.pmod(F.xxhash64("rep"), number).alias("block"))
+    return cut(rows.groupBy("space", "block").applyInArrow(pack, schema).repartitionByRange(max(1, sum(blocks.values())), "space", "block"))
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of rows in double precision, added up from the first element as Spark's ``aggregate`` does."""
+    out = np.zeros(len(x))
+    for n in range(x.shape[1]):
+        out += x[:, n].astype(np.float64) * y[:, n]
+    return np.minimum(1.0, out)
+
+
+def _improve(best: np.ndarray, who: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, others: np.ndarray) -> None:
+    """Bring the rows of ``y`` into ``best`` (similarities) and ``who`` (ids) of the rows of ``x``; of equals the lower id stays."""
+    k = best.shape[1]
+    score = x @ y.T
+    least = best[:, -1]
+    if np.isneginf(least).any() and len(others) > k + 1:  # one more than k: a row may meet itself
+        least = np.maximum(least, np.partition(score[:, : max(k + 2, TILE[0])], -(k + 1), axis=1)[:, -(k + 1)])
+    row, col = np.nonzero(score >= (least - 1e-5)[:, None])  # more than single precision can err by
+    apart = own[row] != others[col]
+    row, col = row[apart], col[apart]
+    for at in range(0, len(row), 1 << 18):
+        r, c = row[at : at + (1 << 18)], col[at : at + (1 << 18)]
+        touched, place = np.unique(r, return_inverse=True)
+        place = np.concatenate([np.repeat(np.arange(len(touched)), k), place])
+        found = np.concatenate([best[touched].ravel(), _dots(x[r], y[c])])
+        ids = np.concatenate([who[touched].ravel(), others[c]])
+        order = np.lexsort((ids, -found, place))
+        order = order[np.searchsorted(place[order], np.arange(len(touched)))[:, None] + np.arange(k)]
+        best[touched], who[touched] = found[order], ids[order]
+
+
+def scanned(asking: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``rep``, ``other``, ``similarity``: the ``k`` most similar other classes of every class in ``asking``, exactly.
+
+    Both have ``rep``, ``space`` and ``vector``. A task holds one block that
+    asks and streams a slab of blocks past it, so what leaves it is ``k`` rows
+    for each vector and slab.
+    """
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("other", T.LongType()), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            kept = np.isfinite(best)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(own, kept.sum(1))), pa.array(who[kept]), pa.array(best[kept])], names=[f.name for f in schema])
+
+        key = None
+        for batch in batches:
+            for n in range(batch.num_rows):
+                space, block, dim = (batch.column(c)[n].as_py() for c in range(3))
+                if key != (space, block):
+                    if key is not None:
+                        yield told()
+                    key = space, block
+                    own, x = np.frombuffer(batch.column(3)[n].as_buffer(), np.int64).copy(), np.frombuffer(batch.column(4)[n].as_buffer(), np.float32).reshape(-1, dim).copy()
+                    best, who = np.full((len(own), k), -np.inf), np.zeros((len(own), k), np.int64)
+                others, y = np.frombuffer(batch.column(5)[n].as_buffer(), np.int64), np.frombuffer(batch.column(6)[n].as_buffer(), np.float32).reshape(-1, dim)
+                for b in range(0, len(others), TILE[1]):
+                    for a in range(0, len(own), TILE[0]):
+                        part, tile = slice(a, a + TILE[0]), slice(b, b + TILE[1])
+                        _improve(best[part], who[part], x[part], own[part], y[tile], others[tile])
+        if key is not None:
+            yield told()
+
+    left = _packed(asking, ASKING)
+    right = _packed(classes, ASKED).select(F.col("space").alias("of"), F.col("reps").alias("others"), F.col("vectors").alias("given"))
+    right = right.coalesce(max(1, -(-right.rdd.getNumPartitions() // SLAB)))
+    met = left.join(right.hint("shuffle_replicate_nl"), F.col("space") == F.col("of")).select("space", "block", "dim", "reps", "vectors", "others", "given")
+    nearest = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")
+    return met.mapInArrow(run, schema).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
+
+
 def vectors(chunks: DataFrame, documents: DataFrame, collections: DataFrame) -> DataFrame:
     """``id``, ``space`` (one for each embedder and length) and the unit ``vector`` of every usable embedding.
 
@@ -154,12 +251,14 @@ def vectors(chunks: DataFrame, documents: DataFrame, collections: DataFrame) ->
     return usable.mapInArrow(run, schema)
 
 
-def neighbours(vectors: DataFrame, k: int = 10, min_similarity: float = 0.9, crowd: int = CROWD) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, min_similarity: float | None = None, crowd: int = CROWD) -> DataFrame:
     """``id``, ``neighbour``, ``rank`` (1 to ``k``) and ``similarity`` of the most similar others of every vector.
 
-    Only neighbours at least as similar as ``min_similarity``; the hashing is
-    tuned for 0.9: of pairs at 0.90 to 0.92 it finds some 95 in 100, of those
-    above 0.95 over 99, and below 0.9 ever fewer.
+    Every vector gets its ``k``, or all others of its space if there are fewer:
+    hashing serves those that have ``k`` above ``FLOOR``, the rest are compared
+    with all. With ``min_similarity`` only neighbours at least so similar, by
+    hashing alone, which is tuned for 0.9: of pairs at 0.90 to 0.92 it finds
+    some 95 in 100, of those above 0.95 over 99, and below 0.9 ever fewer.
     Of equally similar ones the lower id comes first. Rows are ``id``, ``space``
     and unit ``vector``, as ``vectors`` gives them; spaces are never compared. A
     repeated row counts once; an id with several vectors has the neighbours of each.
@@ -171,14 +270,28 @@ def neighbours(vectors: DataFrame, k: int = 10, min_similarity: float = 0.9, cro
     lists = cut(heads.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]))
     # Members that stand for no class; where they are few, no vector is shuffled to leave them out.
     copies = cut(named.join(lists.where(F.size("ids") > 1).select("h1", "h2", "rep"), ["h1", "h2"]).where("id <> rep").select("id"))
-    classes = keyed.join(F.broadcast(copies) if copies.count() <= FEW else copies, "id", "left_anti").select(F.col("id").alias("rep"), "space", "vector")
-    pairs = cut(candidates(classes, min_similarity, crowd))
+    few = copies.count() <= FEW
+    classes = keyed.join(F.broadcast(copies) if few else copies, "id", "left_anti").select(F.col("id").alias("rep"), "space", "vector")
+    floor = FLOOR if min_similarity is None else min_similarity
+    pairs = cut(candidates(classes, floor, crowd))
     a = classes.select(F.col("rep").alias("a"), F.col("vector").alias("va"), F.col("space").alias("sa"))
     b = classes.select(F.col("rep").alias("b"), F.col("vector").alias("vb"), F.col("space").alias("sb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    near = cut(pairs.join(a, "a").join(b, "b").select("a", "b", F.when(F.col("sa") == F.col("sb"), F.least(F.lit(1.0), dot)).alias("similarity")).where(F.col("similarity") >= min_similarity).distinct())
+    near = cut(pairs.join(a, "a").join(b, "b").select("a", "b", F.when(F.col("sa") == F.col("sb"), F.least(F.lit(1.0), dot)).alias("similarity")).where(F.col("similarity") >= floor).distinct())
     both = near.select(F.col("a").alias("rep"), F.col("b").alias("other"), "similarity").unionByName(near.select(F.col("b").alias("rep"), F.col("a").alias("other"), "similarity"))
-    others = both.join(lists.select(F.col("rep").alias("other"), "ids"), "other").select("rep", F.explode("ids").alias("neighbour"), "similarity")
+    several = lists.where(F.size("ids") > 1).select(F.col("rep").alias("other"), "ids")
+    several = F.broadcast(several) if few else several
+
+    def spread(found: DataFrame) -> DataFrame:
+        return found.join(several, "other", "left").select("rep", F.explode(F.coalesce("ids", F.array("other"))).alias("neighbour"), "similarity")
+
+    others = spread(both)
+    if min_similarity is None:
+        met = others.groupBy("rep").agg(F.count("*").alias("met"))
+        # Ids of a class are in lists up to k + 1, itself among them.
+        served = cut(lists.join(met, "rep", "left").where(F.size("ids") - 1 + F.coalesce("met", F.lit(0)) >= k).select("rep"))
+        asking = classes.join(served, "rep", "left_anti")
+        others = others.join(served, "rep", "left_semi").unionByName(spread(cut(scanned(asking, classes, k))))
     own = lists.where(F.size("ids") > 1).select("rep", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("similarity"))
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "neighbour")
     ranked = others.unionByName(own).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)

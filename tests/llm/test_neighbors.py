@@ -63,6 +63,26 @@ def test_crowded_buckets_are_hashed_again(spark):
     assert len(whole & expected) > 0.95 * len(expected)
 
 
+def test_every_vector_has_its_k(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([clusters(rng, 1, 30, 32, 0.2), clusters(rng, 200, 1, 32, 0), np.repeat(clusters(rng, 1, 1, 32, 0), 4, axis=0)])
+    ids = rng.permutation(len(x))
+    df = frame(spark, ids, x).unionByName(frame(spark, [1000, 1001], x[:2], 2))
+    for block in (neighbors.ASKING, 50):
+        monkeypatch.setattr(neighbors, "ASKING", block)
+        monkeypatch.setattr(neighbors, "ASKED", block)
+        monkeypatch.setattr(neighbors, "SLAB", 2)
+        own = {}
+        for r in neighbors.neighbours(df, k=5).orderBy("id", "rank").collect():
+            own.setdefault(r["id"], []).append(r["neighbour"])
+        assert (own.pop(1000), own.pop(1001)) == ([1001], [1000])
+        assert set(own) == set(ids.tolist()) and {len(v) for v in own.values()} == {5}
+        score = np.round((x.astype(float) @ x.T.astype(float)), 9)
+        true = {int(ids[n]): [int(ids[m]) for m in sorted((m for m in range(len(ids)) if m != n), key=lambda m: (-score[n, m], ids[m]))[:5]] for n in range(len(ids))}
+        assert sum(len(set(own[i]) & set(true[i])) for i in true) >= 0.99 * 5 * len(true)
+        assert all(own[int(i)] == true[int(i)] for i in ids[30:])
+
+
 def test_spaces_are_apart(spark):
     x = clusters(np.random.default_rng(4), 1, 1, 16, 0)
     df = frame(spark, [1], x, 1).unionByName(frame(spark, [2], x, 2)).unionByName(frame(spark, [3], x, 1))
