@@ -9,9 +9,9 @@ pre-filtered by the distance of 128-bit sign sketches that travel with the
 postings, and ranked by exact cosine.
 
 Equal vectors are one class from the start and are expanded at the end, so
-copies fill no bucket. A bucket with more than ``crowd`` classes is hashed again
-with half the width inside itself, for its members and for those who look into
-it, until it is small enough; the last level compares all that is left.
+copies fill no bucket. A bucket with more than ``crowd`` classes is compared
+whole all the same: its members and those who look into it get block numbers,
+and each block of the one meets each block of the other under a key of its own.
 
 Hashing finds neighbours above a floor. Without a floor, classes that have fewer
 than ``k`` above it are compared with all classes of their space: blocks of
@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,8 @@ from bookwright.plans.lineage import cut
 
 #: Tables, hashes of a bucket, single perturbations visited, width of a hash for unit vectors, seed.
 TABLES, HASHES, PROBES, WIDTH, SEED = 10, 24, 3, 3.0, 20240229
-#: Classes of a bucket from which it is hashed again, and how often at most.
-CROWD, LEVELS = 4096, 6
+#: Classes of a bucket from which it is compared in blocks of so many.
+CROWD = 4096
 #: Signs of a sketch, and copies up to which their ids are broadcast (8 MB); more are joined by a shuffle.
 BITS, FEW = 128, 1 << 20
 #: Similarity down to which hashing finds neighbours.
@@ -46,9 +46,9 @@ ASKING, ASKED, SLAB, TILE = 1 << 13, 1 << 14, 32, (1 << 10, 1 << 12)
 
 
 @lru_cache(maxsize=16)
-def _functions(dim: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Directions, shifts, mixers of a level's hashes, and the directions of the sketch."""
-    rng = np.random.default_rng([SEED, dim, level])
+def _functions(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, shifts and mixers of the hashes, and the directions of the sketch."""
+    rng = np.random.default_rng([SEED, dim, 0])
     a = rng.standard_normal((dim, TABLES * HASHES), np.float32)
     b = rng.random(TABLES * HASHES, np.float32)
     mixers = rng.integers(-(2**62), 2**62, (TABLES, HASHES), np.int64) | 1
@@ -57,17 +57,17 @@ def _functions(dim: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def sketches(x: np.ndarray) -> np.ndarray:
     """The signs of each row as two integers."""
-    return np.packbits(x @ _functions(x.shape[1], 0)[3] > 0, axis=1).view(np.int64)
+    return np.packbits(x @ _functions(x.shape[1])[3] > 0, axis=1).view(np.int64)
 
 
-def buckets(x: np.ndarray, parent: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+def buckets(x: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Own buckets (rows, tables) and the buckets looked into (rows, tables, 2 + probes) of unit vectors."""
-    a, b, mixers, _ = _functions(x.shape[1], level)
-    place = ((x @ a) / np.float32(WIDTH / 2**level) + b).reshape(len(x), TABLES, HASHES)
+    a, b, mixers, _ = _functions(x.shape[1])
+    place = ((x @ a) / np.float32(WIDTH) + b).reshape(len(x), TABLES, HASHES)
     cell = np.floor(place)
     inside = place - cell
     with np.errstate(over="ignore"):
-        home = (cell.astype(np.int64) * mixers).sum(2) + parent[:, None] * np.int64(0x5851F42D4C957F2D) + np.arange(TABLES) * np.int64(0x14057B7EF767814F)
+        home = (cell.astype(np.int64) * mixers).sum(2) + space[:, None] * np.int64(0x5851F42D4C957F2D) + np.arange(TABLES) * np.int64(0x14057B7EF767814F)
         steps = np.concatenate([-mixers, mixers], axis=1)
         cost = np.concatenate([inside**2, (1 - inside) ** 2], axis=2)
         order = np.argsort(cost, axis=2, kind="stable")[:, :, : max(PROBES, 2)]
@@ -87,53 +87,58 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False), offsets[:-1], np.diff(offsets)
 
 
-def _hashed(rows: DataFrame, level: int) -> DataFrame:
-    """``rep``, ``s1``, ``s2`` (the sketch), ``home`` (empty if not ``own``) and ``looks`` of rows ``rep``, ``parent``, ``own``, ``vector``."""
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rep``, ``s1``, ``s2`` (the sketch), ``home`` and ``looks`` of rows ``rep``, ``space``, ``vector``."""
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("home", T.ArrayType(T.LongType())), T.StructField("looks", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, parent, own = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(3))
-            flat, start, size = _flat(batch.column(3))
+            rep, space = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(2))
+            flat, start, size = _flat(batch.column(2))
             for dim in np.unique(size):
                 at = np.flatnonzero(size == dim)
                 x = flat[start[at][:, None] + np.arange(dim)].astype(np.float32)
-                home, looks = buckets(x, parent[at], level)
-                kept = own[at].astype(bool)
+                home, looks = buckets(x, space[at])
                 sketch = sketches(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rep[at]), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), _lists(home[kept].ravel(), np.where(kept, TABLES, 0)), _lists(looks.ravel(), np.full(len(at), looks[0].size))],
+                    [pa.array(rep[at]), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), _lists(home.ravel(), np.full(len(at), TABLES)), _lists(looks.ravel(), np.full(len(at), looks[0].size))],
                     names=["rep", "s1", "s2", "home", "looks"],
                 )
 
-    return rows.select("rep", "parent", "own", "vector").mapInArrow(run, schema)
+    return rows.select("rep", "space", "vector").mapInArrow(run, schema)
 
 
 def candidates(classes: DataFrame, min_similarity: float, crowd: int = CROWD) -> DataFrame:
     """Pairs ``a`` < ``b`` of classes that may be as similar as ``min_similarity``."""
     share = math.acos(min(1.0, min_similarity)) / math.pi
     near = math.ceil(BITS * share + 3 * math.sqrt(BITS * share * (1 - share)))
-    rows = classes.select("rep", F.col("space").alias("parent"), F.lit(True).alias("own"), "vector")
-    pairs = None
-    for level in range(LEVELS):
-        hashed = _hashed(rows, level)  # cheaper to compute again than to keep
-        stored = hashed.select("rep", "s1", "s2", F.explode("home").alias("bucket"))
-        looking = hashed.select(F.col("rep").alias("from"), F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.explode("looks").alias("bucket"))
-        last = level == LEVELS - 1
-        crowded = None if last else cut(stored.groupBy("bucket").count().where(F.col("count") > crowd).select("bucket"))
-        again = crowded is not None and not crowded.isEmpty()
-        calm = stored.join(crowded, "bucket", "left_anti") if again else stored
-        apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("f1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("f2")))
-        met = calm.join(looking, "bucket").where((F.col("rep") != F.col("from")) & (apart <= near))
-        met = met.select(F.least("rep", "from").alias("a"), F.greatest("rep", "from").alias("b"))
-        pairs = met if pairs is None else pairs.unionByName(met)
-        if not again:
-            break
-        members = stored.join(crowded, "bucket").select("rep", "bucket", F.lit(True).alias("own"))
-        visitors = looking.join(crowded, "bucket").select(F.col("from").alias("rep"), "bucket", F.lit(False).alias("own"))
-        inside = members.unionByName(visitors).groupBy("rep", F.col("bucket").alias("parent")).agg(F.max("own").alias("own"))
-        rows = cut(inside.join(classes.select("rep", "vector"), "rep"))
-    return pairs.distinct()
+    hashed = _hashed(classes)  # cheaper to compute again than to keep
+    stored = hashed.select("rep", "s1", "s2", F.explode("home").alias("bucket"))
+    looking = hashed.select(F.col("rep").alias("from"), F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.explode("looks").alias("bucket"))
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("f1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("f2")))
+
+    def meet(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+        met = left.join(right, list(key)).where((F.col("rep") != F.col("from")) & (apart <= near))
+        return met.select(F.least("rep", "from").alias("a"), F.greatest("rep", "from").alias("b"))
+
+    crowded = cut(stored.groupBy("bucket").agg(F.ceil(F.count("*") / crowd).alias("blocks")).where("blocks > 1"))
+    if crowded.isEmpty():
+        return meet(stored, looking, "bucket").distinct()
+
+    def small(hot: DataFrame) -> DataFrame:
+        return F.broadcast(hot) if hot.count() <= FEW else hot
+
+    visits = looking.join(small(crowded), "bucket").groupBy("bucket", "blocks").agg(F.ceil(F.count("*") / crowd).alias("visits"))
+    hot = small(cut(visits))
+
+    def blocks(many: str, upto: str, row: str, own: str, other: str) -> list[Column]:
+        """Block numbers of a row: its own, and each of the other side."""
+        return [F.pmod(F.xxhash64(row), F.col(upto)).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(many) - 1)).alias(other)]
+
+    members = stored.join(hot, "bucket").select("rep", "s1", "s2", "bucket", *blocks("visits", "blocks", "rep", "m", "v"))
+    visitors = looking.join(hot, "bucket").select("from", "f1", "f2", "bucket", *blocks("blocks", "visits", "from", "v", "m"))
+    calm = meet(stored.join(small(crowded), "bucket", "left_anti"), looking, "bucket")
+    return calm.unionByName(meet(members, visitors, "bucket", "m", "v")).distinct()
 
 
 def _packed(classes: DataFrame, size: int) -> DataFrame:

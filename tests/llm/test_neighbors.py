@@ -63,6 +63,17 @@ def test_crowded_buckets_are_hashed_again(spark):
     assert len(whole & expected) > 0.95 * len(expected)
 
 
+def test_crowded_buckets_lose_nothing(spark):
+    rng = np.random.default_rng(3)
+    x = clusters(rng, 2, 150, 32, 0.25)
+    ids = list(range(len(x)))
+    expected = exact(ids, x, 5, 0.9)
+    df = frame(spark, ids, x)
+    crowded, whole = ({(min(r["id"], r["neighbour"]), max(r["id"], r["neighbour"])) for r in neighbors.neighbours(df, k=5, min_similarity=0.9, crowd=crowd).collect()} for crowd in (20, neighbors.CROWD))
+    assert crowded == whole
+    assert len(crowded & expected) > 0.95 * len(expected)
+
+
 def test_every_vector_has_its_k(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = np.concatenate([clusters(rng, 1, 30, 32, 0.2), clusters(rng, 200, 1, 32, 0), np.repeat(clusters(rng, 1, 1, 32, 0), 4, axis=0)])
