@@ -10,7 +10,8 @@ The default total is the largest at which every source that has documents
 reaches its share without passing its cap, so real shares differ from targets
 only by the share of sources without documents and by less than one document.
 With a larger total, sources that cannot follow give all they may, and the
-report says what share each one really got.
+report says what share each one really got. The total ``CORPUS`` is all tokens
+of the target sources: a tiny source then doesn't shrink the mix to its size.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from bookwright.plans.lineage import cut
 
 #: Tokens of a slice of the order, on average; a slice is summed by one task.
 SLICE = 1 << 22
+#: As a total: all tokens of the target sources.
+CORPUS = "corpus"
 
 
-def plan(available: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def plan(available: DataFrame, targets: DataFrame, total: int | str | None = None) -> DataFrame:
     """For each target source: what it has, what it may give and its ``budget`` in tokens.
 
     ``available`` has ``source``, ``documents`` and ``tokens``. A target without
@@ -36,6 +39,8 @@ def plan(available: DataFrame, targets: DataFrame, total: int | None = None) ->
     known = wanted.join(F.broadcast(available), "source", "left").na.fill(0, ["documents", "tokens"]).withColumn("most", F.col("tokens") * F.col("max_repeats"))
     if total is None:
         reach = known.where("most > 0 and target_share > 0").agg(F.coalesce(F.min(F.col("most") / F.col("target_share")), F.lit(0.0)).alias("total"))
+    elif total == CORPUS:
+        reach = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("total"))
     else:
         reach = known.agg(F.lit(float(total)).alias("total"))
     return known.crossJoin(F.broadcast(reach)).withColumn("budget", F.least(F.floor(F.col("target_share") * F.col("total") + 1e-6).cast("bigint"), F.col("most")))
@@ -49,7 +54,7 @@ def sized(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int =
     return counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.source", "d.n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("key"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, vocabulary: str, total: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, vocabulary: str, total: int | str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The mix, one row for each use of a document, and the report of shares.
 
     The mix has ``source``, ``doc_id``, ``epoch`` (from 1) and ``n_tokens``; the

@@ -70,11 +70,11 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "source_targets"), VOCABULARY)[0]
+    return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "source_targets"), VOCABULARY, mixing.CORPUS)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "source_targets"), VOCABULARY)[1]
+    return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "source_targets"), VOCABULARY, mixing.CORPUS)[1]
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bookwright.llm import mixing
+from bookwright.llm import mixing, queries
 from bookwright.llm.queries import VOCABULARY
 
 TARGETS = "source string, target_share double, max_repeats int"
@@ -36,6 +36,19 @@ def test_a_large_total_reports_what_is_missing(spark, documents):
     assert abs(report["big"]["actual_share"] - 2400 / 3360) < 1e-9
 
 
+def test_a_tiny_source_does_not_shrink_the_corpus(spark, tmp_path):
+    rows = [(n, source, "one two three four five six seven eight") for n, source in enumerate(["big"] * 300 + ["mid"] * 60 + ["tiny"])]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.15, 4), ("none", 0.05, 4)], TARGETS).write.parquet(f"{tmp_path}/source_targets.parquet")
+    whole = 361 * 8
+    report = {r["source"]: r for r in queries.p7_shares(spark, str(tmp_path)).collect()}
+    assert 0.5 * whole - 8 < report["big"]["mixed_tokens"] <= 0.5 * whole
+    assert 0.3 * whole - 8 < report["mid"]["mixed_tokens"] <= 0.3 * whole
+    assert report["mid"]["mixed_documents"] > 60
+    assert (report["tiny"]["mixed_tokens"], report["none"]["mixed_tokens"]) == (4 * 8, 0)
+    assert queries.p7_mix(spark, str(tmp_path)).where("source = 'tiny'").count() == 4
+
+
 def test_slices_give_one_order(spark, documents, monkeypatch):
     targets = spark.createDataFrame([("big", 0.7, 1), ("mid", 0.3, 1)], TARGETS)
     whole = sorted(map(tuple, mixing.mix(documents, targets, VOCABULARY)[0].collect()))
