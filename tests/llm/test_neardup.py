@@ -63,6 +63,21 @@ def test_chains_are_one_group(spark):
     assert {r["group_id"] for r in found} == {0}
 
 
+def test_chains_of_short_texts_are_one_group(spark):
+    words = [f"w{n}" for n in range(60)]
+    texts = [" ".join(words[n * 3 : n * 3 + 20]) for n in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {r["group_id"] for r in neardup.groups(df).collect()} == {0}
+
+
+def test_pairs_at_the_threshold(spark):
+    texts = [" ".join(f"v{n}x{w}" for w in range(32)) for n in range(300)]
+    texts += [" ".join([*text.split()[:22], *(f"u{n}x{w}" for w in range(10))]) for n, text in enumerate(texts)]
+    assert all(neardup.similarity(neardup.runs(texts[n]), neardup.runs(texts[n + 300])) == 0.5 for n in range(300))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert neardup.similar_pairs(df).count() >= 297
+
+
 def test_a_third_of_all_rows_alike(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "the same words in every one of these texts").otherwise(F.concat_ws(" ", *[F.concat(F.lit(w), "id") for w in "abcdef"])).alias("text"))
     assert neardup.similar_pairs(df).count() == 0
