@@ -122,3 +122,16 @@ def records(chunks: DataFrame, id_column: str = "id", text_column: str = "text")
     ids = chunks.select(F.col(id_column).cast("bigint").alias("id")).where("id is not null").distinct()
     groups = text_copies(chunks, id_column, text_column)
     return ids.join(groups, "id", "left").groupBy(F.coalesce("first_id", "id").alias("first_id")).agg(F.count("*").alias("copies"))
+
+
+def all_records(chunks: DataFrame, documents: DataFrame, id_column: str = "doc_id", hash_column: str = "source_hash") -> DataFrame:
+    """One row for each record of chunks and of documents: ``rec``, ``first_id``, ``copies``.
+
+    Documents are one record by their hash, however written; one without a
+    usable hash is a record of its own. A row repeated under its id counts once;
+    of several hashes under one id the least counts.
+    """
+    keyed = documents.select(F.col(id_column).cast("bigint").alias("id"), hash_key(F.col(hash_column)).alias("key")).where("id is not null").groupBy("id").agg(F.min("key").alias("key"))
+    alone = F.when(F.col("key").isNull(), F.col("id"))
+    stored = keyed.groupBy("key", alone.alias("alone")).agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    return records(chunks).select(F.lit("chunks").alias("rec"), "first_id", "copies").unionByName(stored.select(F.lit("documents").alias("rec"), "first_id", "copies"))

@@ -57,6 +57,10 @@ def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     return copies.records(table(spark, folder, "chunks", "id", "text"))
 
 
+def p4_all_records(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.all_records(table(spark, folder, "chunks", "id", "text"), table(spark, folder, "documents", "doc_id", "source_hash"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, folder, "chunks", "id", "text"))
 
@@ -86,7 +90,7 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_records, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_records, p4_all_records, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical)}
 
 
 def oracle_sql() -> dict[str, str]:

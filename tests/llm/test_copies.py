@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from bookwright.llm import copies
+from bookwright.llm import copies, queries
 
 HASH = "ab12" * 16
 
@@ -33,6 +33,14 @@ def test_found_and_records(spark):
     assert copies.records(chunks.limit(0)).count() == 0
 
 
+def test_records_of_documents(spark):
+    chunks = spark.createDataFrame([(1, "a b"), (2, "A-B"), (3, "c")], "id long, text string")
+    docs = spark.createDataFrame([(7, HASH), (8, f"sha256:{HASH.upper()}"), (8, HASH), (9, None), (10, "bad"), (11, HASH[::-1]), (None, HASH)], "doc_id long, source_hash string")
+    assert sorted(map(tuple, copies.all_records(chunks, docs).collect())) == [("chunks", 1, 2), ("chunks", 3, 1), ("documents", 7, 2), ("documents", 9, 1), ("documents", 10, 1), ("documents", 11, 1)]
+    assert "p4_all_records" in queries.queries()
+    assert copies.all_records(chunks.limit(0), docs.limit(0)).count() == 0
+
+
 def test_a_group_of_a_third_of_all_rows(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "Same, text").otherwise(F.concat(F.lit("own "), "id")).alias("text"))
     found = copies.text_copies(df)
