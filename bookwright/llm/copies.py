@@ -4,13 +4,17 @@ A text is a tree: a record of ``name: value`` fields is an unordered node whose
 children are the fields, each an ordered node of a name and a value; any other
 text is one leaf. Leaves are normalised (letters and digits alone, case folded)
 and hashed, the digests of an unordered node are sorted before they are hashed,
-and equal roots are the same record. Groups are then confirmed on the normalised
-content itself, which is part of the grouping key once only groups of two or
-more are left. Everything is built from Spark's own functions.
+and equal roots are the same record. Digests of 64 bits are made in the scan and
+are all that is shuffled; texts are fetched only for roots that occur twice, and
+these groups are confirmed on the whole normalised content, which is part of the
+grouping key. Everything is built from Spark's own functions.
+
+White space after a colon, or its lack, is one of the differences that don't
+matter: a part is a field if it has a colon and a letter or digit before it.
 
 Null ids and null texts take no part; texts without any letter or digit are
 no copies of anything. A row repeated under its id counts once; of several texts
-under one id the least counts.
+under one id the one of the least digest counts.
 """
 
 from __future__ import annotations
@@ -22,53 +26,71 @@ from bookwright.plans.lineage import cut
 
 #: What separates the fields of a record.
 FIELD_BREAK = r"[\r\n\x{85}\x{2028}\x{2029}]+| \| |; "
-#: A field: a name, a colon, a value.
-FIELD = r"(?s)^\s*([^:]*[\p{L}\p{N}][^:]*):(\s.*|)$"
+#: Ids up to which they are broadcast (8 MB) to fetch their texts from the scan; more are joined by a shuffle.
+FEW = 1 << 20
 
 
 def leaf(text: Column) -> Column:
     """Letters and digits of a text, in order, without regard to case."""
-    lower = F.translate(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")), "ς", "σ")
-    return F.when(F.contains(lower, F.lit("ß")), F.replace(lower, F.lit("ß"), F.lit("ss"))).otherwise(lower)
+    lower = F.lower(F.regexp_replace(text, r"[^a-zA-Z0-9\p{L}\p{N}]++", ""))
+    return F.replace(F.replace(lower, F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
 
 
 def fields(text: Column) -> Column:
     """The fields of a record, null for a text with any part that is no field, or with fewer than two."""
-    parts = F.filter(F.split(text, FIELD_BREAK), lambda p: F.length(F.trim(p)) > 0)
-    return F.when(text.rlike(r"[^:]:\s") & (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(FIELD)), parts)
+    parts = F.when(F.contains(text, F.lit(":")), F.filter(F.split(text, FIELD_BREAK), lambda p: F.length(F.trim(p)) > 0))
+    named = F.forall(parts, lambda p: F.contains(p, F.lit(":")) & F.substring_index(p, ":", 1).rlike(r"[\p{L}\p{N}]"))
+    return F.when((F.size(parts) > 1) & named, parts)
+
+
+def _child(part: Column) -> tuple[Column, Column]:
+    """Name and value of a field, normalised."""
+    at = F.instr(part, ":")
+    return leaf(F.substring(part, F.lit(1), at - 1)), leaf(F.substring(part, at + 1, F.length(part)))
 
 
 def record_form(text: Column) -> Column:
     """The normalised record: one line for each field, sorted; null if the text is no record."""
-    def one(part: Column) -> Column:
-        at = F.instr(part, ":")
-        return F.concat_ws(":", leaf(F.substring(part, F.lit(1), at - 1)), leaf(F.substring(part, at + 1, F.length(part))))
+    return F.array_join(F.array_sort(F.transform(fields(text), lambda p: F.concat_ws(":", *_child(p)))), "\n")
 
-    return F.array_join(F.array_sort(F.transform(fields(text), one)), "\n")
 
+def record_root(parts: Column) -> Column:
+    """The Merkle root of the fields of a record: their digests, sorted and hashed; null for null."""
+    return F.when(parts.isNotNull(), F.xxhash64(F.array_sort(F.transform(parts, lambda p: F.xxhash64(*_child(p))))))
 
-def record_root(text: Column) -> Column:
-    """The Merkle root of a record: sorted digests of its fields, hashed; null if the text is no record."""
-    def node(part: Column) -> Column:
-        at = F.instr(part, ":")
-        name, value = leaf(F.substring(part, F.lit(1), at - 1)), leaf(F.substring(part, at + 1, F.length(part)))
-        return F.sha2(F.concat(F.sha2(name, 256), F.sha2(value, 256)), 256)
 
-    return F.sha2(F.array_join(F.array_sort(F.transform(fields(text), node)), ""), 256)
+def _digests(rows: DataFrame) -> DataFrame:
+    """``id``, ``leaf`` and ``record`` (null for no record): the roots of every text that has a letter or digit."""
+    parts = rows.select("id", leaf(F.col("text")).alias("plain"), fields(F.col("text")).alias("parts")).where("plain <> ''")
+    return parts.select("id", F.xxhash64("plain").alias("leaf"), record_root(F.col("parts")).alias("record"))
 
 
-def _confirmed(rows: DataFrame, roots: DataFrame, form: Column) -> DataFrame:
-    """``id`` and ``first``, the least id of its group, in groups of two or more whose whole forms are equal.
+def _confirmed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id``, ``kind``, ``root`` and ``first``, the least id of its group, in groups of two or more whose whole forms are equal.
 
-    ``roots`` has ``id`` and ``root``. Counting is partial before its shuffle, so
-    a root shared by a third of all rows is a few rows there; only rows of roots
-    that occur twice fetch their form.
+    ``nodes`` has ``id``, ``kind`` (0 leaf, 1 record) and ``root``. Counting is
+    partial before its shuffle, so a root shared by a third of all rows is a few
+    rows there. A root of several forms (a collision of 64 bits) is told apart by
+    its forms; all others take their group from the root.
     """
-    twice = roots.groupBy("root").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("root")
-    members = roots.join(twice, "root", "left_semi")
-    formed = cut(rows.join(members, "id").select("id", "root", F.xxhash64(form).alias("h"), form.alias("form")))
-    firsts = formed.groupBy("root", "h", "form").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "h", "first", F.sha2("form", 512).alias("whole"))
-    return formed.select("id", "root", "h", F.sha2("form", 512).alias("whole")).join(firsts, ["root", "h", "whole"]).select("id", "first")
+    twice = nodes.groupBy("kind", "root").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("kind", "root")
+    members = cut(nodes.join(twice, ["kind", "root"], "left_semi"))
+    ids = members.select("id").distinct()
+    kept = rows.join(F.broadcast(ids), "id", "left_semi") if members.count() <= FEW else rows
+    form = F.when(F.col("kind") == 0, leaf(F.col("text"))).otherwise(record_form(F.col("text")))
+    own = F.when(F.col("kind") == 0, F.xxhash64(leaf(F.col("text")))).otherwise(record_root(fields(F.col("text"))))
+    formed = kept.join(members, "id").where(own == F.col("root")).select("id", "kind", "root", form.alias("form"))
+    whole = formed.groupBy("kind", "root", "form").agg(F.min("id").alias("first"), F.max("id").alias("last")).select("kind", "root", F.sha2("form", 256).alias("form"), "first", "last")
+    classes = cut(whole)
+    roots = classes.groupBy("kind", "root").agg(F.count("*").alias("forms"), F.min("first").alias("first"), F.max("last").alias("last"))
+    single = roots.where("forms = 1 and first <> last").select("kind", "root", "first")
+    found = members.join(single, ["kind", "root"])
+    collided = roots.where("forms > 1").select("kind", "root")
+    if collided.isEmpty():
+        return found
+    apart = formed.join(collided, ["kind", "root"], "left_semi").withColumn("form", F.sha2("form", 256))
+    several = apart.join(classes.where("first <> last"), ["kind", "root", "form"]).select("kind", F.xxhash64("root", "form").alias("root"), "id", "first").distinct()
+    return found.unionByName(several)
 
 
 def text_copies(chunks: DataFrame, id_column: str = "id", text_column: str = "text") -> DataFrame:
@@ -79,12 +101,10 @@ def text_copies(chunks: DataFrame, id_column: str = "id", text_column: str = "te
     that lost its colons), so the least id is passed on along both until nothing
     changes: twice as a rule, since leaf groups meet in one record group.
     """
-    rows = chunks.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null").groupBy("id").agg(F.min("text").alias("text"))
-    keyed = rows.select("id", F.sha2(F.nullif(leaf(F.col("text")), F.lit("")), 256).alias("leaf"), record_root(F.col("text")).alias("record")).where("leaf is not null")
-    keyed = cut(keyed)
-    by_leaf = _confirmed(rows, keyed.select("id", F.col("leaf").alias("root")), leaf(F.col("text")))
-    by_record = _confirmed(rows, keyed.where("record is not null").select("id", F.col("record").alias("root")), record_form(F.col("text")))
-    links = cut(by_leaf.withColumn("kind", F.lit(0)).unionByName(by_record.withColumn("kind", F.lit(1))))
+    rows = chunks.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null")
+    keyed = cut(_digests(rows).groupBy("id").agg(F.min(F.struct("leaf", "record")).alias("k")).select("id", "k.leaf", "k.record"))
+    nodes = keyed.select("id", F.lit(0).alias("kind"), F.col("leaf").alias("root")).unionByName(keyed.where("record is not null").select("id", F.lit(1).alias("kind"), F.col("record").alias("root")))
+    links = cut(_confirmed(rows, nodes).select("id", "kind", "first"))
     label = cut(links.groupBy("id").agg(F.min("first").alias("first_id")))
     while True:
         best = links.join(label, "id").groupBy("kind", "first").agg(F.min("first_id").alias("best"))

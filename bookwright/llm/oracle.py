@@ -17,21 +17,22 @@ def _leaf(column: str) -> str:
     return f"replace(replace(lower(regexp_replace({column}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), 'ß', 'ss'), 'ς', 'σ')"
 
 
-_FIELDS = r"list_filter(regexp_split_to_array(text, '[\r\n\x{85}\x{2028}\x{2029}]+| \| |; '), lambda p: length(trim(p)) > 0)"
-_COPIES = f"""
-k as (select id, text, {_leaf('text')} as leaf, {_FIELDS} as f from (select distinct id, text from chunks where id is not null and text is not null)),
-r as (select id, leaf, case when len(f) > 1 and len(list_filter(f, lambda p: not regexp_matches(p, '(?s)^\\s*([^:]*[\\p{{L}}\\p{{N}}][^:]*):(\\s.*|)$'))) = 0
-  then array_to_string(list_sort(list_transform(f, lambda p: {_leaf("p[:instr(p, ':') - 1]")} || ':' || {_leaf("p[instr(p, ':') + 1:]")})), chr(10)) else 'text ' || id end as rec from k where leaf <> ''),
-a as (select *, min(id) over (partition by leaf) as m from r),
+# Copies as TESTDATA.md states them: the letters and digits, or all fields of a record as pairs of name and value in any order.
+_COPIES = rf"""
+k as (select distinct id, text, {_leaf('text')} as plain from chunks where id is not null and text is not null),
+f as (select id, plain, list_filter(regexp_split_to_array(text, '[\r\n\x{{85}}\x{{2028}}\x{{2029}}]+| \| |; '), lambda p: length(trim(p)) > 0) as parts from k where plain <> ''),
+r as (select id, plain, case when len(parts) > 1 and list_bool_and(list_transform(parts, lambda p: regexp_matches(split_part(p, ':', 1), '[\p{{L}}\p{{N}}]') and contains(p, ':')))
+  then list_sort(list_transform(parts, lambda p: {{'name': {_leaf("split_part(p, ':', 1)")}, 'value': {_leaf("substr(p, strpos(p, ':') + 1)")}}}))::varchar else 'text ' || id end as rec from f),
+a as (select *, min(id) over (partition by plain) as m from r),
 b as (select *, min(m) over (partition by rec) as m2 from a),
-c as (select *, min(m2) over (partition by leaf) as m3 from b),
+c as (select *, min(m2) over (partition by plain) as m3 from b),
 g as (select id, min(m3) over (partition by rec) as first_id from c)"""
 _HASHES = r"""
 h as (select distinct doc_id, regexp_replace(regexp_replace(lower(trim(source_hash)), '^\s*sha[-_ ]?256\s*[:= ]?\s*', ''), '[^0-9a-z]', '', 'g') as key from documents where doc_id is not null),
 d as (select doc_id, min(doc_id) over (partition by key) as first_id from h where regexp_matches(key, '^[0-9a-f]{64}$'))"""
 
 _RUNS = f"""
-w as (select id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w, {_leaf('text')} as leaf from chunks where text is not null),
+w as (select id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from chunks where text is not null),
 r as (select distinct id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as run from w where len(w) > 2),
 z as (select id, count(*) as n from r group by id),
 p as (select a.id as a, b.id as b, count(*) as common from r a join r b on a.run = b.run and a.id < b.id group by all)"""
@@ -54,7 +55,8 @@ SQL = {
     "p3_found": f"select distinct id from chunks where id is not null and {_N_WORDS} > 0 and greatest(1, length(text) // 4, {_N_WORDS} * 13 // 10) > 512",
     "p4_found": f"with {_COPIES}, {_HASHES} select 'chunks' as rec, first_id, id as copy_id from g where id <> first_id union all select 'documents', first_id, doc_id from d where doc_id <> first_id",
     "p4_records": f"with {_COPIES} select first_id, count(*) as copies from (select distinct i.id, coalesce(g.first_id, i.id) as first_id from chunks i left join g on g.id = i.id where i.id is not null) group by first_id",
-    "p5_found": f"""with {_RUNS} select a as id_a, b as id_b from p join z x on x.id = a join z y on y.id = b join w u on u.id = a join w v on v.id = b where common * 2 >= x.n + y.n - common and u.leaf <> v.leaf""",
+    "p5_found": f"""with {_COPIES}, {_RUNS.replace("r as (", "runs as (").replace("from r ", "from runs ").replace("join r ", "join runs ")}
+select p.a as id_a, p.b as id_b from p join z x on x.id = p.a join z y on y.id = p.b join g u on u.id = p.a join g v on v.id = p.b where common * 2 >= x.n + y.n - common and u.first_id <> v.first_id""",
     "p8_found": f"""with l as (select doc_id, text, {_look('text')} as look from documents where text is not null)
 select a.doc_id as doc_a, b.doc_id as doc_b from l a join l b on a.look = b.look and a.doc_id < b.doc_id and a.text <> b.text where trim(a.look) <> ''""",
 }

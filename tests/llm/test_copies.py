@@ -24,6 +24,28 @@ def test_text_copies(spark):
     assert groups == {3: {3, 5}, 4: {4, 7, 8}, 11: {11, 12}, 17: {17, 18}, 21: {21, 23}}
 
 
+def test_fields_without_a_blank_after_the_colon(spark):
+    rows = [
+        (1, "asset: Pump 7\nstate: open\nticket: zx-513"), (2, "TICKET:ZX-513; ASSET:  pump 7; STATE:open."), (3, "asset: open\nstate: Pump 7\nticket: zx-513"),
+        (4, "asset Pump 7 state open ticket zx-513"), (5, "12:30 start | 13:40 end"), (6, "13:40 end | 12:30 start"), (7, ": x\ny: 1"), (8, "y: 1\n: x"), (9, "a:\nb: 1"), (10, "b:1; a:"),
+    ]
+    found = {r["id"]: r["first_id"] for r in copies.text_copies(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 4: 1, 5: 5, 6: 5, 9: 9, 10: 9}
+
+
+def test_an_id_with_several_texts_has_one(spark):
+    rows = [(1, "one text"), (1, "another"), (2, "ONE TEXT"), (3, "An other"), (4, None)]
+    found = copies.text_copies(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert len(found) == 2 and {r["first_id"] for r in found} == {1}
+
+
+def test_roots_that_collide_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(copies, "record_root", lambda parts: F.when(parts.isNotNull(), F.lit(1).cast("bigint")))
+    rows = [(1, "a: 1; b: 2"), (2, "b: 2; a: 1"), (3, "c: 3; d: 4"), (4, "d: 4; c: 3"), (5, "e: 5; f: 6")]
+    found = {r["id"]: r["first_id"] for r in copies.text_copies(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_found_and_records(spark):
     chunks = spark.createDataFrame([(1, "a b"), (2, "A-B"), (3, "c"), (4, None), (None, "a b")], "id long, text string")
     docs = spark.createDataFrame([(7, HASH), (8, f"sha256:{HASH.upper()}"), (9, None), (None, HASH)], "doc_id long, source_hash string")
