@@ -4,9 +4,14 @@ Minhashes are computed for small collections in groups, each with left ones of
 single hashes and right ones of pairs; every table key combines one of the left
 with one of the right of its group. One large group would let all its tables miss
 together: 6 x 12 bands find 0.953 of the pairs of similarity 0.5, 12 groups of
-2 x 3, which are 72 tables as well, 0.9989 (the sketch loses some 0.001 more). Pairs that meet in a table
-are filtered by a sketch of 128 bits that travels with the key, and what is left
-is verified on the words themselves.
+2 x 3, which are 72 tables as well, 0.9989 (the sketch loses some 0.001 more).
+Pairs that meet in a table are filtered by a sketch of 128 bits that travels with
+the key, and what is left is verified on the words themselves.
+
+The number of tasks that compare follows the number of keys. A key that many
+texts share is compared whole all the same: its texts get block numbers, and each
+block meets each under a key of its own. Which keys these are is estimated from
+one class in ``PROBE``; that decides how the work is spread, not what is compared.
 
 Texts of the same word sequence are one class from the start: copies fill no
 bucket and are verified once; pairs are expanded to all members of both classes.
@@ -29,6 +34,10 @@ from bookwright.plans.lineage import cut
 
 #: Words of a run, least share of common runs, groups of bands, left bands of a group (of one minhash), right bands (of two), bits of the sketch, seed.
 RUN, SIMILARITY, GROUPS, LEFT, RIGHT, BITS, SEED = 3, 0.5, 12, 2, 3, 128, 5
+#: Keys of a task, texts of a key from which it is compared in blocks of so many, part of the classes that are asked which keys these are.
+TASK, CROWD, PROBE = 1 << 19, 1 << 13, 64
+#: Rows up to which they are broadcast (some 10 MB); more are joined by a shuffle.
+FEW = 1 << 18
 WORDS = re.compile(r"[^\W_]+")
 _BLOCK = 1 << 19
 
@@ -71,12 +80,13 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, left: int = GROUPS * LEFT
         value = np.minimum.reduceat(_mix(hashes, 1000 + n), starts)
         fold = _mix(value, 2)
         bits[:, n], bits[:, n + 1] = fold & np.uint64(1), (fold >> np.uint64(1)) & np.uint64(1)
-    return low[:, :left].view(np.int64), pairs.view(np.int64), np.packbits(bits, axis=1).view(np.int64)
+    half = np.uint64(32)
+    return (low[:, :left] >> half).astype(np.uint32).view(np.int32), (pairs >> half).astype(np.uint32).view(np.int32), np.packbits(bits, axis=1).view(np.int64)
 
 
 def _signed(rows: DataFrame, run: int) -> DataFrame:
     """``id``, ``w1``, ``w2`` (digest of the words), ``s1``, ``s2``, ``left``, ``right`` of texts with at least ``run`` words."""
-    whole = T.ArrayType(T.LongType(), False)
+    whole = T.ArrayType(T.IntegerType(), False)
     schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("record", "w1", "w2", "s1", "s2")), T.StructField("left", whole), T.StructField("right", whole)])
 
     def lists(x: np.ndarray) -> pa.ListArray:
@@ -140,8 +150,16 @@ def _least_common_bits(least: float) -> int:
     return int(BITS / 2 * mean - 3 * (BITS / 2 * spread) ** 0.5)
 
 
+def _small(rows: DataFrame, number: int | None = None) -> DataFrame:
+    """``rows`` to be broadcast if they are few."""
+    return F.broadcast(rows) if (rows.count() if number is None else number) <= FEW else rows
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, least: float, run: int) -> DataFrame:
     """``a``, ``b``, ``similarity`` of pairs that are similar enough and no copies, from their words."""
+    needed = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    number = needed.count()
+    rows = rows.join(_small(needed, number), "id", "left_semi") if number <= FEW else rows
     a = rows.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     b = rows.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("ta", T.StringType()), T.StructField("tb", T.StringType())])
@@ -158,6 +176,36 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: float, run: int) -> Data
     return near.where(~same).select("a", "b", "similarity")
 
 
+def _keys(heads: DataFrame) -> DataFrame:
+    """``key``, ``id``, ``s1``, ``s2``: every table key of every class, with its sketch."""
+    bands = heads.select("id", "s1", "s2", "left", F.posexplode("right").alias("j", "r"))
+    tables = bands.select("id", "s1", "s2", "j", "r", F.posexplode(F.slice("left", F.floor(F.col("j") / RIGHT).cast("int") * LEFT + 1, LEFT)).alias("i", "l"))
+    return tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "s1", "s2")
+
+
+def _met(heads: DataFrame, most_apart: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of classes that share a key and whose sketches are near."""
+    keyed = _keys(heads)
+    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+
+    def meet(rows: DataFrame, *key: str) -> DataFrame:
+        a = rows.select(*key, "own", F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+        b = rows.select(*key, F.col("own").alias("other"), F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+        once = F.lit(True) if len(key) == 1 else (F.col("own") != F.col("other")) | (F.col("i") == F.col("j"))
+        return a.join(b, list(key)).where((F.col("a") < F.col("b")) & once & (apart <= most_apart)).select("a", "b")
+
+    asked = _keys(heads.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(PROBE)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
+    hot = cut(asked.where((F.col("n") * PROBE > CROWD) & (F.col("n") > 1)).select("key", F.ceil(F.col("n") * PROBE / CROWD).alias("blocks")))
+    number, tasks = hot.count(), max(1, -(-heads.count() * GROUPS * LEFT * RIGHT // TASK))
+    calm = keyed if not number else keyed.join(_small(hot.select("key"), number), "key", "left_anti")
+    found = meet(calm.withColumn("own", F.lit(0)).repartition(tasks, "key"), "key")
+    if number:
+        own = keyed.join(_small(hot, number), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        spread = own.select("key", F.least("own", "block").alias("i"), F.greatest("own", "block").alias("j"), "own", "id", "s1", "s2")
+        found = found.unionByName(meet(spread, "key", "i", "j"))
+    return found.distinct()
+
+
 def class_pairs(chunks: DataFrame, least: float = SIMILARITY, run: int = RUN, id_column: str = "id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (``a`` < ``b``, ``similarity``) and membership (``id``, ``rep``).
 
@@ -167,15 +215,12 @@ def class_pairs(chunks: DataFrame, least: float = SIMILARITY, run: int = RUN, id
     """
     rows = chunks.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null")
     signed = cut(_signed(rows, run))
-    kinds = signed.groupBy("w1", "w2", "record").agg(F.min("id").alias("rep"))
-    members = cut(signed.select("id", "w1", "w2", "record").join(kinds, ["w1", "w2", "record"]).select("id", "rep").distinct())
-    heads = cut(signed.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "s1", "s2", "left", "right"))
-    tables = heads.select("id", "s1", "s2", "left", F.posexplode("right").alias("j", "r")).select("id", "s1", "s2", "j", "r", F.posexplode(F.slice("left", F.floor(F.col("j") / RIGHT).cast("int") * LEFT + 1, LEFT)).alias("i", "l"))
-    keyed = tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "s1", "s2").repartition("key")
-    a = keyed.select("key", F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    b = keyed.select("key", F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    met = cut(a.join(b, "key").where((F.col("a") < F.col("b")) & (apart <= BITS - _least_common_bits(least))).select("a", "b").distinct())
+    word = ["w1", "w2", "record"]
+    kinds = signed.groupBy(*word).agg(F.min("id").alias("rep"))
+    named = cut(signed.select("id", *word).distinct().join(kinds, word))
+    members = named.select("id", "rep").distinct()
+    heads = signed.join(_small(named.where("id <> rep").select("id", *word)), ["id", *word], "left_anti").select("id", "s1", "s2", "left", "right")
+    met = cut(_met(heads, BITS - _least_common_bits(least)))
     verified = _verified(met, rows, least, run).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     return cut(verified), members
 

@@ -78,6 +78,23 @@ def test_pairs_at_the_threshold(spark):
     assert neardup.similar_pairs(df).count() >= 297
 
 
+def test_a_key_that_many_share_is_compared_in_blocks(spark, monkeypatch):
+    texts = library(60, 9)
+    base = " ".join(f"z{n}" for n in range(40))
+    texts += [f"{base} own{n}" for n in range(60)]
+    expected = brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    monkeypatch.setattr(neardup, "CROWD", 7)
+    monkeypatch.setattr(neardup, "PROBE", 2)
+    monkeypatch.setattr(neardup, "TASK", 500)
+    crowded = {tuple(r) for r in neardup.similar_pairs(df).collect()}
+    assert len(expected) > 60 * 59 // 2
+    assert crowded <= set(expected)
+    assert len(crowded) >= 0.99 * len(expected)
+    monkeypatch.setattr(neardup, "FEW", 0)
+    assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == crowded
+
+
 def test_a_third_of_all_rows_alike(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "the same words in every one of these texts").otherwise(F.concat_ws(" ", *[F.concat(F.lit(w), "id") for w in "abcdef"])).alias("text"))
     assert neardup.similar_pairs(df).count() == 0
