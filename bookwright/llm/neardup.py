@@ -5,8 +5,9 @@ single hashes and right ones of pairs; every table key combines one of the left
 with one of the right of its group. One large group would let all its tables miss
 together: 6 x 12 bands find 0.953 of the pairs of similarity 0.5, 12 groups of
 2 x 3, which are 72 tables as well, 0.9989 (the sketch loses some 0.001 more).
-Pairs that meet in a table are filtered by a sketch of 128 bits that travels with
-the key, and what is left is verified on the words themselves.
+A row of a table is a key and a sketch of 128 bits, which stands for the class, so
+pairs that meet are filtered where they meet; what is left is joined to the ids
+that have the sketches and verified on the words themselves.
 
 The number of tasks that compare follows the number of keys. A key that many
 texts share is compared whole all the same: its texts get block numbers, and each
@@ -34,8 +35,8 @@ from bookwright.plans.lineage import cut
 
 #: Words of a run, least share of common runs, groups of bands, left bands of a group (of one minhash), right bands (of two), bits of the sketch, seed.
 RUN, SIMILARITY, GROUPS, LEFT, RIGHT, BITS, SEED = 3, 0.5, 12, 2, 3, 128, 5
-#: Keys of a task, texts of a key from which it is compared in blocks of so many, part of the classes that are asked which keys these are.
-TASK, CROWD, PROBE = 1 << 19, 1 << 13, 64
+#: Keys of a task, least number of tasks, texts of a key from which it is compared in blocks of so many, part of the classes that are asked which keys these are.
+TASK, TASKS, CROWD, PROBE = 1 << 19, 64, 1 << 13, 64
 #: Rows up to which they are broadcast (some 10 MB); more are joined by a shuffle.
 FEW = 1 << 18
 WORDS = re.compile(r"[^\W_]+")
@@ -177,33 +178,39 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: float, run: int) -> Data
 
 
 def _keys(heads: DataFrame) -> DataFrame:
-    """``key``, ``id``, ``s1``, ``s2``: every table key of every class, with its sketch."""
-    bands = heads.select("id", "s1", "s2", "left", F.posexplode("right").alias("j", "r"))
-    tables = bands.select("id", "s1", "s2", "j", "r", F.posexplode(F.slice("left", F.floor(F.col("j") / RIGHT).cast("int") * LEFT + 1, LEFT)).alias("i", "l"))
-    return tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "id", "s1", "s2")
+    """``key``, ``s1``, ``s2``: every table key of every class, with its sketch."""
+    bands = heads.select("s1", "s2", "left", F.posexplode("right").alias("j", "r"))
+    tables = bands.select("s1", "s2", "j", "r", F.posexplode(F.slice("left", F.floor(F.col("j") / RIGHT).cast("int") * LEFT + 1, LEFT)).alias("i", "l"))
+    return tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "s1", "s2")
 
 
 def _met(heads: DataFrame, most_apart: int) -> DataFrame:
     """Pairs ``a`` < ``b`` of classes that share a key and whose sketches are near."""
     keyed = _keys(heads)
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    before = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
 
     def meet(rows: DataFrame, *key: str) -> DataFrame:
-        a = rows.select(*key, "own", F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-        b = rows.select(*key, F.col("own").alias("other"), F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-        once = F.lit(True) if len(key) == 1 else (F.col("own") != F.col("other")) | (F.col("i") == F.col("j"))
-        return a.join(b, list(key)).where((F.col("a") < F.col("b")) & once & (apart <= most_apart)).select("a", "b")
+        own = [c for c in rows.columns if c == "own"]
+        a = rows.select(*key, *own, F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+        b = rows.select(*key, *[F.col(c).alias("other") for c in own], F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+        once = (F.col("own") != F.col("other")) | (F.col("i") == F.col("j")) if own else F.lit(True)
+        return a.join(b, list(key)).where(before & once & (apart <= most_apart)).select("a1", "a2", "b1", "b2")
 
     asked = _keys(heads.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(PROBE)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
     hot = cut(asked.where((F.col("n") * PROBE > CROWD) & (F.col("n") > 1)).select("key", F.ceil(F.col("n") * PROBE / CROWD).alias("blocks")))
-    number, tasks = hot.count(), max(1, -(-heads.count() * GROUPS * LEFT * RIGHT // TASK))
+    number, tasks = hot.count(), max(TASKS, -(-heads.count() * GROUPS * LEFT * RIGHT // TASK))
     calm = keyed if not number else keyed.join(_small(hot.select("key"), number), "key", "left_anti")
-    found = meet(calm.withColumn("own", F.lit(0)).repartition(tasks, "key"), "key")
+    found = meet(calm.repartition(tasks, "key"), "key")
     if number:
-        own = keyed.join(_small(hot, number), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        spread = own.select("key", F.least("own", "block").alias("i"), F.greatest("own", "block").alias("j"), "own", "id", "s1", "s2")
+        own = keyed.join(_small(hot, number), "key").withColumn("own", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        spread = own.select("key", F.least("own", "block").alias("i"), F.greatest("own", "block").alias("j"), "own", "s1", "s2")
         found = found.unionByName(meet(spread, "key", "i", "j"))
-    return found.distinct()
+    x, y = heads.select(F.col("id").alias("x"), F.col("s1").alias("a1"), F.col("s2").alias("a2")), heads.select(F.col("id").alias("y"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    pairs = found.distinct().join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).select("x", "y")
+    # Classes of one sketch are near whatever key they share.
+    same = x.join(y, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("x") < F.col("y"))).select("x", "y")
+    return pairs.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 
 def class_pairs(chunks: DataFrame, least: float = SIMILARITY, run: int = RUN, id_column: str = "id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
