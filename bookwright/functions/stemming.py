@@ -97,11 +97,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def terms(text: Column, stemmed: bool = True) -> Column:
-    """Index terms of a text in order; without ``stemmed`` the words alone, and no Python."""
+def stem_column(token: Column) -> Column:
+    """The index terms of a column of distinct tokens."""
 
-    @F.pandas_udf("array<string>")
-    def run(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda row: [term(t) for t in row], na_action="ignore")
+    @F.pandas_udf("string")
+    def run(token: pd.Series) -> pd.Series:
+        return token.map(term, na_action="ignore")
 
-    return run(tokens(text)) if stemmed else tokens(text)
+    return run(token)

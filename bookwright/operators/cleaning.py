@@ -6,28 +6,16 @@ last kept one needs a neighbour, which is a window over the lines of a page.
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookwright.functions.markup import unescaped
 from bookwright.functions.text import stripped, words
 
 #: Zero-width and soft characters that are removed from pages.
 SILENT = "\u200b\u200c\u200d\u200e\u200f\ufeff\u00ad"
 
 
-def unescaped(text: Column) -> Column:
-    """Text with its character references resolved; Python sees only texts that have any."""
-
-    @F.pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(html.unescape, na_action="ignore")
-
-    return F.coalesce(run(F.when(F.contains(text, F.lit("&")), text)), text)
-
-
 def _bare(word: Column, signs: str) -> Column:
     return F.regexp_replace(word, f"^[{signs}]+|[{signs}]+$", "")
 

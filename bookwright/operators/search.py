@@ -18,15 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bookwright.functions.stemming import stem_column, tokens
 from bookwright.functions.stemming import term as index_term
-from bookwright.functions.stemming import terms
 from bookwright.functions.text import citation, snippet
 
 #: BM25's constants, the least inverse document frequency, and the constant of rank fusion.
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
 MODES = ("hybrid", "vector", "keyword")
-#: Values of query vectors that may be broadcast to all chunks.
-QUERY_VALUES = 1 << 24
+#: Values of query vectors that may be broadcast to all chunks (64 MB), and of a block of them.
+QUERY_VALUES, QUERY_BLOCK = 1 << 23, 1 << 18
+#: Places of a document that one task orders.
+BLOCK = 1 << 12
 
 
 def pool_size(k: int) -> int:
@@ -69,38 +71,65 @@ def vector_top(chunks: DataFrame, query: Sequence[float], k: int, key: str = "id
     return best.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("vector_score"), key)))
 
 
+def _query_blocks(queries: DataFrame, values: int) -> DataFrame:
+    """``dim``, ``ids`` and ``vectors`` (bytes) of blocks of about QUERY_BLOCK values of query vectors, of which there are ``values``."""
+    schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        vectors = np.array(table.column("vector").to_pylist(), np.float64)
+        ids = table.column("query_id").to_numpy().astype(np.int64)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([ids.tobytes()]), pa.array([vectors.tobytes()])], names=[f.name for f in schema])
+
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-values // QUERY_BLOCK))))
+    rows = queries.select(F.size("vector").alias("dim"), block.alias("block"), F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    return rows.groupBy("dim", "block").applyInArrow(pack, schema)
+
+
+def _chunk_blocks(chunks: DataFrame, key: str, vector: str) -> DataFrame:
+    """``of`` (the length), ``keys`` and ``given`` (bytes) of blocks of chunks, as their tasks read them."""
+    schema = T.StructType([T.StructField("of", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("given", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1)
+            at, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False)
+            size = np.diff(at)
+            for dim in np.unique(size[size > 0]):
+                own = np.flatnonzero(size == dim)
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([flat[at[own][:, None] + np.arange(dim)].astype(np.float32).tobytes()])], names=[f.name for f in schema])
+
+    given = chunks.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return given.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<float>").alias(vector)).mapInArrow(pack, schema)
+
+
 def vector_top_each(chunks: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``key``, ``vector_score``, ``vector_rank`` of the ``k`` best of every query vector.
 
-    ``queries`` has ``query_id`` and ``vector``. A bounded set of queries is held
-    against blocks of chunks: every task keeps the best of its own rows and only
-    those are shuffled. More queries than fit QUERY_VALUES go in several passes.
+    ``queries`` has ``query_id`` and ``vector``. Blocks of queries are held
+    against blocks of chunks: a task keeps the best of its own rows and only
+    those are shuffled. Up to QUERY_VALUES values of queries, counted first, are
+    broadcast; of more, every block of queries is sent to every part of the chunks.
+    Null ids and vectors take no part, and vectors of other lengths don't meet.
     """
-    rows = queries.where("query_id is not null and vector is not null").select("query_id", "vector").limit(1 + QUERY_VALUES // 8).collect()
-    if sum(len(r["vector"]) for r in rows) > QUERY_VALUES:
-        raise ValueError("too many query values for one pass; split the queries")
+    asked = queries.where("query_id is not null and vector is not null").select("query_id", "vector")
+    values = asked.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).collect()[0][0]
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(key, T.LongType()), T.StructField("vector_score", T.DoubleType())])
-    by_dim: dict[int, tuple[list[int], np.ndarray]] = {}
-    for dim in {len(r["vector"]) for r in rows}:
-        own = [r for r in rows if len(r["vector"]) == dim]
-        by_dim[dim] = [r["query_id"] for r in own], np.array([r["vector"] for r in own], np.float64).reshape(len(own), dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            at, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False)
-            size = np.diff(at)
-            for dim, (names, q) in by_dim.items():
-                own = np.flatnonzero(size == dim)
-                if not len(own):
-                    continue
-                score = q @ flat[at[own][:, None] + np.arange(dim)].astype(np.float64).T
-                order = np.lexsort((np.broadcast_to(ids[own], score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), pa.array(ids[own][order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=[f.name for f in schema])
-
-    given = chunks.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<float>").alias(vector))
+            for r in batch.to_pylist():
+                names, ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["keys"], np.int64)
+                q, x = np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"]), np.frombuffer(r["given"], np.float32).reshape(-1, r["dim"]).astype(np.float64)
+                for at in range(0, len(names), 256):
+                    score = q[at : at + 256] @ x.T
+                    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + 256], order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=[f.name for f in schema])
+
+    blocks = _query_blocks(asked, values)
+    blocks = F.broadcast(blocks) if values <= QUERY_VALUES else blocks.hint("shuffle_replicate_nl")
+    met = _chunk_blocks(chunks, key, vector).join(blocks, F.col("dim") == F.col("of"))
     best = Window.partitionBy("query_id").orderBy(F.desc("vector_score"), key)
-    return given.mapInArrow(run, schema).withColumn("vector_rank", F.row_number().over(best)).where(F.col("vector_rank") <= k)
+    return met.mapInArrow(run, schema).withColumn("vector_rank", F.row_number().over(best)).where(F.col("vector_rank") <= k)
 
 
 # Words
@@ -124,17 +153,31 @@ class WordIndex:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def document_frequencies(chunks: DataFrame, text: str = "text", title: str | None = "section_title", key: str = "id") -> DataFrame:
+    """``term``, ``df`` of unstemmed terms, from the distinct terms of every chunk: what an index would give, without its places. Keys are unique."""
+    found = tokens(F.col(text))
+    found = F.concat(found, tokens(F.col(title))) if title else found
+    return chunks.where(F.col(key).isNotNull()).select(F.explode(F.array_distinct(found)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def word_index(chunks: DataFrame, key: str = "id", text: str = "text", title: str | None = "section_title", stemmed: bool = True, carried: tuple[str, ...] = ()) -> WordIndex:
     """The index of text and title; null counts as empty, and a place between the two keeps phrases apart.
 
-    ``carried`` are columns of a chunk that both tables keep.
+    ``carried`` are columns of a chunk that both tables keep. Stems are worked out
+    once for each distinct word and joined to the words of chunks.
     """
-    found = terms(F.col(text), stemmed)
+    found = tokens(F.col(text))
     if title:
-        found = F.concat(found, F.array(F.lit(None).cast("string")), terms(F.col(title), stemmed))
-    rows = chunks.where(F.col(key).isNotNull()).select(key, *carried, found.alias("terms"))
-    lengths = rows.select(key, *carried, F.size(F.array_compact("terms")).alias("n"))
-    postings = rows.select(key, *carried, F.posexplode("terms").alias("place", "term")).where("term is not null").groupBy("term", key, *carried).agg(F.sort_array(F.collect_list("place")).alias("places"))
+        found = F.concat(found, F.array(F.lit(None).cast("string")), tokens(F.col(title)))
+    rows = chunks.where(F.col(key).isNotNull()).select(key, *carried, found.alias("words"))
+    lengths = rows.select(key, *carried, F.size(F.array_compact("words")).alias("n"))
+    placed = rows.select(key, *carried, F.posexplode("words").alias("place", "term")).where("term is not null")
+    postings = placed.groupBy("term", key, *carried).agg(F.sort_array(F.collect_list("place")).alias("places"))
+    if stemmed:
+        distinct = placed.select("term").distinct()
+        vocabulary = distinct.select(F.col("term"), stem_column(F.col("term")).alias("stem"))
+        meant = postings.join(vocabulary, "term").select(F.col("stem").alias("term"), key, *carried, "places")
+        postings = meant.groupBy("term", key, *carried).agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
     return WordIndex(postings, lengths, key, stemmed)
 
 
@@ -230,8 +273,11 @@ def rendered(found: DataFrame) -> DataFrame:
     return found.select("rank", "chunk_id", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), cited, F.lit(" ("), F.col("chunk_id"), F.lit(")\n    "), body).alias("shown"))
 
 
-def search(chunks: DataFrame, documents: DataFrame, index: WordIndex | None, query: str, vector: Sequence[float] | None, k: int = 5, mode: str = "hybrid", collections: Sequence[str] | None = None) -> DataFrame:
-    """The ``k`` best hits of a query in a mode. Blank queries, and unknown words by keyword, have none."""
+def search(chunks: DataFrame, documents: DataFrame, index: WordIndex | None, query: str, vector: Sequence[float] | None, k: int = 5, mode: str = "hybrid", collections: Sequence[str] | None = None, limited: bool = False) -> DataFrame:
+    """The ``k`` best hits of a query in a mode. Blank queries, and unknown words by keyword, have none.
+
+    ``limited`` says that ``chunks`` and ``documents`` are fewer than those of the index.
+    """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     if k < 1:
@@ -239,7 +285,7 @@ def search(chunks: DataFrame, documents: DataFrame, index: WordIndex | None, que
     docs = documents if collections is None else documents.where(F.col("collection").isin(list(collections)))
     among = chunks if collections is None else chunks.join(docs.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
     vectors = vector_top(among, vector, pool_size(k)) if mode != "keyword" and vector is not None and query.strip() else None
-    keywords = keyword_top(index, query, pool_size(k), among if collections is not None else None) if mode != "vector" and index is not None else None
+    keywords = keyword_top(index, query, pool_size(k), among if limited or collections is not None else None) if mode != "vector" and index is not None else None
     if vectors is None and keywords is None:
         vectors = vector_top(among.limit(0), [0.0], 1)
     return hits(fused_top(fused(vectors, keywords), k, mode), chunks, docs)
@@ -256,6 +302,27 @@ def read_window(chunks: DataFrame, documents: DataFrame, chunk_id: str, neighbou
 
 
 def windows(chunks: DataFrame, n: int = 1) -> DataFrame:
-    """Every chunk with the texts of its neighbours in ``text``: a window over each document."""
-    around = Window.partitionBy("document_id").orderBy("seq").rangeBetween(-n, n)
-    return chunks.select("id", "document_id", "seq", F.size(F.collect_list("id").over(around)).alias("n_around"), F.min("seq").over(around).alias("first_seq"), F.max("seq").over(around).alias("last_seq"))
+    """Every chunk with ``n_around``, ``first_seq`` and ``last_seq`` of the chunks up to ``n`` places before and after it, itself among them.
+
+    Every chunk tells the places it is near to, and these are counted by document
+    and place, so a document of any size is spread. A chunk without a place or a
+    document is around none.
+    """
+    told = chunks.where("document_id is not null and seq is not null").select("document_id", "seq", F.explode(F.sequence(F.col("seq") - n, F.col("seq") + n)).alias("at"))
+    counted = told.groupBy("document_id", F.col("at").alias("seq")).agg(F.count("*").cast("int").alias("n_around"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return chunks.select("id", "document_id", "seq").join(counted, ["document_id", "seq"], "left").select("id", "document_id", "seq", F.coalesce("n_around", F.lit(0)).alias("n_around"), "first_seq", "last_seq")
+
+
+def previous(chunks: DataFrame, value: str, block: int = BLOCK) -> DataFrame:
+    """``id``, ``value`` and ``before``, the value of the chunk before it in its document; null for the first.
+
+    A document is ordered in blocks of places, each by itself; the last value of
+    a block goes on to the next that holds any. Equal places are ordered by id.
+    """
+    placed = chunks.select("id", "document_id", "seq", value, F.floor(F.col("seq") / block).alias("block"))
+    own = Window.partitionBy("document_id", "block").orderBy("seq", "id")
+    rows = placed.withColumn("held", F.lag(F.struct(F.col(value).alias("v"))).over(own))
+    last = placed.groupBy("document_id", "block").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct("seq", "id")).alias("end"))
+    ends = last.select("document_id", "block", F.lag("end").over(Window.partitionBy("document_id").orderBy("block")).alias("end"))
+    joined = rows.join(ends, rows["document_id"].eqNullSafe(ends["document_id"]) & rows["block"].eqNullSafe(ends["block"]), "left")
+    return joined.select("id", value, F.coalesce("held", "end")["v"].alias("before"))

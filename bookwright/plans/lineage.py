@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    Where neither that setting nor a folder of the context is given (tests on
-    one machine), a temporary folder is made.
+    Where neither that setting nor a folder of the context is given, a temporary
+    folder is made on one machine; on a cluster, where each host would have
+    another, that is an error. Spark removes files that nothing refers to any more
+    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()
 

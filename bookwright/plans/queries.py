@@ -141,8 +141,8 @@ def overlap_tails(spark: SparkSession, folder: str) -> DataFrame:
 with p as (select id, heading_path as a, lag(heading_path) over (partition by document_id order by seq) as b from chunks)
 select id, case when b is null then 0 else coalesce((select min(i) - 1 from generate_series(1, least(len(a), len(b)) + 1) g(i) where i > least(len(a), len(b)) or a[i] <> b[i]), 0) end as shared from p""")
 def shared_headings(spark: SparkSession, folder: str) -> DataFrame:
-    before = F.lag("heading_path").over(Window.partitionBy("document_id").orderBy("seq"))
-    return table(spark, folder, "chunks", "id", "document_id", "seq", "heading_path").withColumn("before", before).select("id", F.when(F.col("before").isNull(), 0).otherwise(F.size(fn.common_prefix(F.col("heading_path"), F.col("before")))).cast("bigint").alias("shared"))
+    told = search.previous(table(spark, folder, "chunks", "id", "document_id", "seq", "heading_path"), "heading_path")
+    return told.select("id", F.when(F.col("before").isNull(), 0).otherwise(F.size(fn.common_prefix(F.col("heading_path"), F.col("before")))).cast("bigint").alias("shared"))
 
 
 # Rows as documents
@@ -265,16 +265,52 @@ def paragraph_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.paragraphs(_lines(spark, folder)).select("doc_id", "pos", F.md5("text").alias("digest"))
 
 
-@registered()
-def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
+def _paged(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with text as one page, of a paged source if they have pages."""
     docs = table(spark, folder, "documents", "doc_id", "text", "total_pages").where("text is not null")
-    return chunking.chunk_documents(docs.select("doc_id", F.array("text").alias("pages"), (F.col("total_pages") > 0).alias("paged")), ["doc_id"])
+    return docs.select("doc_id", F.array("text").alias("pages"), (F.col("total_pages") > 0).alias("paged"))
+
+
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+_BLOCKS = rf"""
+l as (select doc_id, coalesce(total_pages > 0, false) as paged, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null),
+k as (select *, {_strip('line')} as bare, regexp_matches({_strip('line')}, '^(```|~~~)')::int as mark from l),
+s as (select *, mark = 1 or sum(mark) over (partition by doc_id order by pos) % 2 = 1 as fenced from k),
+m as (select *, case when fenced then 0 else length(regexp_extract(bare, '^(#{{{{1,6}}}})[{{WS}}]+(.+?)[{{WS}}]*#*[{{WS}}]*$', 1)) end as md, regexp_extract(bare, '^(#{{{{1,6}}}})[{{WS}}]+(.+?)[{{WS}}]*#*[{{WS}}]*$', 2) as mdt, regexp_extract(bare, '^(\d+(?:\.\d+)*)', 1) as num from s),
+d as (select *, max(md) over (partition by doc_id) > 0 as marked,
+  not fenced and bare <> '' and length(bare) < 120 and not ends_with(bare, '.') and (regexp_matches(bare, '(?i)^(chapter|part|section|appendix)\s') or regexp_matches(bare, '^\d+(\.\d+)*\s+\S')
+    or (regexp_matches(bare, '[{_CASED}]') and not regexp_matches(bare, '(^|[^{_CASED}])\p{{Ll}}|[{_CASED}][\p{{Lu}}\p{{Lt}}]')) or (regexp_matches(bare, '\p{{Lu}}') and not regexp_matches(bare, '[\p{{Ll}}\p{{Lt}}]'))) as guessed from m),
+g as (select *, (case when marked then md when not guessed then 0 when num = '' then 1 else least(4, len(string_split(num, '.'))) end)::int as level, case when marked then mdt else bare end as title from d),
+e as (select *, not fenced and (bare = '' or level > 0) as ends from g),
+n as (select *, sum(ends::int) over (partition by doc_id order by pos) as grp from e),
+hd as (select doc_id, pos, level, title from n where level > 0),
+pg as (select doc_id, grp, any_value(paged) as paged, min(pos) as pos, string_agg(case when paged and not fenced then bare else regexp_replace(line, '[{{WS}}]+$', '') end, chr(10) order by pos) as text from n where not ends group by doc_id, grp),
+b as (select doc_id, pos, level, title as text from hd union all select doc_id, pos, 0, case when paged then replace(regexp_replace(text, '-\n(\p{{Ll}})', '\1', 'g'), chr(10), ' ') else text end from pg)"""
+_BLOCKS = _BLOCKS.replace("{{", "{").replace("}}", "}").replace("{WS}", WS)
+
+
+@registered(f"""
+with {_BLOCKS},
+o as (select b.doc_id, b.pos, h.pos as place, h.title from b join hd h on h.doc_id = b.doc_id and h.pos <= b.pos and (b.level = 0 or h.level <= b.level)
+  where not exists (select 1 from hd c where c.doc_id = b.doc_id and c.pos > h.pos and c.pos <= b.pos and c.level <= h.level)),
+p as (select doc_id, pos, string_agg(title, ' › ' order by place) as path from o group by doc_id, pos)
+select b.doc_id, b.pos::bigint as place, b.level, md5(b.text) as digest, coalesce(p.path, '') as path from b left join p on p.doc_id = b.doc_id and p.pos = b.pos""")
+def document_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    found = blocks.blocks(_paged(spark, folder))
+    return found.select("doc_id", "place", "level", F.md5("text").alias("digest"), F.array_join("path", fn.PATH_MARK).alias("path"))
 
 
 @registered()
+def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunk_documents(_paged(spark, folder), ["doc_id"])
+
+
+@registered(f"""
+with {_BLOCKS},
+x as (select doc_id, string_agg(case when level > 0 then repeat('#', level) || ' ' else '' end || text, chr(10) || chr(10) order by pos) || chr(10) as markdown from b group by doc_id)
+select d.doc_id, md5(coalesce(markdown, '')) as digest from documents d left join x using (doc_id) where d.text is not null""")
 def documents_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents", "doc_id", "text").where("text is not null")
-    return docs.select("doc_id", chunking.markdown_column(F.array("text"), F.lit(False)).alias("markdown"))
+    return chunking.markdown_documents(_paged(spark, folder), "doc_id").select("doc_id", F.md5("markdown").alias("digest"))
 
 
 @registered()
@@ -346,7 +382,7 @@ def _index(spark: SparkSession, folder: str, stemmed: bool = False) -> search.Wo
 
 @registered(f"with {_TOKENS} select term, df from df")
 def term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    return _index(spark, folder).frequencies()
+    return search.document_frequencies(table(spark, folder, "chunks", "id", "text", "section_title"))
 
 
 @registered(f"with {_TOKENS} select chunks, round(mean, 6) as mean_length from a")

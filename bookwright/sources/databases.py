@@ -15,7 +15,9 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, Stru
 
 from bookwright.errors import RowSourceError
 
-_KINDS = {int: LongType(), float: DoubleType(), bytes: BinaryType()}
+#: Types of a column by what SQLite stores in it, and what a value is cast to; anything else is text.
+_KINDS = {("integer",): LongType(), ("real",): DoubleType(), ("integer", "real"): DoubleType(), ("blob",): BinaryType()}
+_CASTS = {DoubleType(): "real", StringType(): "text"}
 
 
 def redacted(dsn: str) -> str:
@@ -54,6 +56,18 @@ def _connected(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{quote(str(Path(path).resolve()))}?mode=ro", uri=True)
 
 
+def single(query: str) -> str:
+    """A query without what ends it; several statements are refused."""
+    bare = query.strip().rstrip(";").rstrip()
+    if ";" in re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", "", bare, flags=re.DOTALL):
+        raise RowSourceError("one statement only")
+    return bare
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
 class _Range(InputPartition):
     def __init__(self, low: int, high: int, first: bool):
         super().__init__(None)
@@ -61,16 +75,17 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: dict[str, str], schema: StructType):
         self.path, self.query = options["path"], options["query"]
         self.column, self.parts = options.get("partitioncolumn"), int(options.get("numpartitions", "1"))
+        shown = (f"cast({_quoted(f.name)} as {_CASTS[f.dataType]})" if f.dataType in _CASTS else _quoted(f.name) for f in schema)
+        self.select = f"select {', '.join(shown)} from ({self.query})"
 
     def partitions(self) -> list[InputPartition]:
         if not self.column:
             return [InputPartition(None)]
-        quoted = '"' + self.column.replace('"', '""') + '"'
         with _connected(self.path) as db:
-            low, high = db.execute(f"select min({quoted}), max({quoted}) from ({self.query})").fetchone()
+            low, high = db.execute(f"select min({_quoted(self.column)}), max({_quoted(self.column)}) from ({self.query})").fetchone()
         if low is None:
             return [InputPartition(None)]
         step = max(1, -(-(high - low + 1) // self.parts))
@@ -79,11 +94,11 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with _connected(self.path) as db:
             if isinstance(partition, _Range):
-                quoted = '"' + (self.column or "").replace('"', '""') + '"'
-                nulls = f" or {quoted} is null" if partition.first else ""
-                yield from db.execute(f"select * from ({self.query}) where {quoted} >= ? and {quoted} < ?{nulls}", (partition.low, partition.high))
+                column = _quoted(self.column or "")
+                nulls = f" or {column} is null" if partition.first else ""
+                yield from db.execute(f"{self.select} where {column} >= ? and {column} < ?{nulls}", (partition.low, partition.high))
             else:
-                yield from db.execute(self.query)
+                yield from db.execute(self.select)
 
 
 class SqliteSource(DataSource):
@@ -94,32 +109,46 @@ class SqliteSource(DataSource):
         return "sqlite_ro"
 
     def schema(self) -> StructType:
+        """The types that the database itself finds in all rows of the query."""
+        query = self.options["query"]
         with _connected(self.options["path"]) as db:
             try:
-                found = db.execute(self.options["query"])
+                names = [d[0] for d in db.execute(f"select * from ({query}) limit 0").description]
+                kinds = db.execute(f"select {', '.join(f'group_concat(distinct typeof({_quoted(n)}))' for n in names)} from ({query})").fetchone()
             except sqlite3.Error as e:
                 raise RowSourceError(f"the query failed: {e}") from e
-            names = [d[0] for d in found.description or ()]
-            sample = found.fetchmany(1000)
-        fields = []
-        for n, name in enumerate(names):
-            seen = {type(r[n]) for r in sample if r[n] is not None}
-            fields.append(StructField(name, _KINDS.get(seen.pop(), StringType()) if len(seen) == 1 else DoubleType() if seen == {int, float} else StringType()))
-        return StructType(fields)
+        seen = [tuple(sorted(set((k or "").split(",")) - {"null", ""})) for k in kinds]
+        return StructType([StructField(n, _KINDS.get(k, StringType())) for n, k in zip(names, seen, strict=True)])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader({k.lower(): v for k, v in self.options.items()})
+        return _Reader({k.lower(): v for k, v in self.options.items()}, schema)
 
 
 def read_query(spark: SparkSession, dsn: str, query: str, partition_column: str | None = None, partitions: int = 8) -> DataFrame:
-    """Rows of one query. SQLite files are opened read only; Postgres needs its JDBC driver and reads in a read-only session."""
+    """Rows of one query, in parts by a column of whole numbers if one is named.
+
+    SQLite files are opened read only; Postgres needs its JDBC driver and reads in a read-only session.
+    """
+    query = single(query)
     if is_postgres(dsn):
         parts = urlsplit(dsn)
         options = {"user": unquote(parts.username or "postgres"), "password": unquote(parts.password or ""), "sessionInitStatement": "SET SESSION CHARACTERISTICS AS TRANSACTION READ ONLY"}
         url = f"jdbc:postgresql://{parts.hostname or 'localhost'}:{parts.port or 5432}{parts.path}" + (f"?{parts.query}" if parts.query else "")
-        return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+        return read_jdbc(spark, url, query, partition_column, partitions, **options)
     spark.dataSource.register(SqliteSource)
     reader = spark.read.format("sqlite_ro").option("path", str(sqlite_path(dsn))).option("query", query)
     if partition_column:
         reader = reader.option("partitionColumn", partition_column).option("numPartitions", str(partitions))
     return reader.load()
+
+
+def read_jdbc(spark: SparkSession, url: str, query: str, partition_column: str | None = None, partitions: int = 8, **options: str) -> DataFrame:
+    """Rows of a query by JDBC; with ``partition_column`` the range of its values is asked first, and each part of it is a task's."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if not partition_column:
+        return reader.option("query", query).load()
+    low, high = reader.option("query", f"select min({_quoted(partition_column)}) a, max({_quoted(partition_column)}) b from ({query}) q").load().collect()[0]
+    if low is None:
+        return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    bounds = {"partitionColumn": _quoted(partition_column), "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", **bounds, **options).load()

@@ -19,6 +19,12 @@ def test_round_trip(spark, tmp_path, capsys):
     assert run([*base, "search", "router", "--collection", "none"], spark) == 2
     assert run([*base, "rm", "none.md"], spark) == 1
     assert run([*base, "export", str(tmp_path / "out")], spark) == 0
+    assert run([*base, "export"], spark) == 2
+    assert run([*base, "export", "--to", "http://127.0.0.1:9"], spark) == 2
+    assert run([*base, "info", str(tmp_path / "a.md")], spark) == 0
+    capsys.readouterr()
+    assert run([*base, "process", str(tmp_path / "a.md"), "--output", str(tmp_path / "made"), "--max-tokens", "128"], spark) == 0
+    assert rows()[0]["total_chunks"] == 1
     assert run([*base, "rm", "a.md"], spark) == 0
     capsys.readouterr()
     assert run([*base, "docs"], spark) == 0

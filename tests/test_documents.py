@@ -1,13 +1,24 @@
 """Cleaning, blocks, chunks, rows, changes."""
 
+import random
+import re
+
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bookwright.errors import RowSourceError
 from bookwright.operators import blocks, changes, chunking, cleaning, rows
-from bookwright.operators.chunking import chunks_of, parts, pieces, tokens
+from bookwright.operators.chunking import tokens
+
+DOCUMENT = "id long, pages array<string>, paged boolean"
+
+
+def chunked(spark, pages, paged=False, **sizes):
+    """The chunks of one document as dictionaries."""
+    found = chunking.chunk_documents(spark.createDataFrame([(1, pages, paged)], DOCUMENT), ["id"], **sizes).orderBy("seq").collect()
+    assert [r["seq"] for r in found] == list(range(len(found)))
+    return [{k: v for k, v in r.asDict().items() if k not in ("id", "seq")} for r in found]
+
 
 PROSE = "The lens holds the light. The shutter keeps it out! Does the aperture help? "
 
@@ -36,28 +47,53 @@ def test_paragraphs_keep_fences_whole(spark):
     assert found == ["one\ntwo", "```\ncode\n\nmore\n```\nend", "last"]
 
 
-def test_chunks_know_their_headings():
-    found = chunks_of(["# Camera\n\n" + PROSE * 8 + "\n\n## Lens\n\n" + PROSE * 8], limit=64, overlap=0)
+def test_chunks_know_their_headings(spark):
+    found = chunked(spark, ["# Camera\n\n" + PROSE * 8 + "\n\n## Lens\n\n" + PROSE * 8], limit=64, overlap=0)
     assert {tuple(c["heading_path"]) for c in found} == {("Camera",), ("Camera", "Lens")}
     assert all(c["page_start"] is None for c in found)
 
 
-def test_small_sections_are_merged_and_named():
-    found = chunks_of(["# A\n\n## B\n\nshort\n\n## C\n\nalso short"], limit=128)
+def test_small_sections_are_merged_and_named(spark):
+    found = chunked(spark, ["# A\n\n## B\n\nshort\n\n## C\n\nalso short"], limit=128)
     assert found == [{"text": "B\n\nshort\n\nC\n\nalso short", "token_count": tokens("B\n\nshort\n\nC\n\nalso short"), "heading_path": ["A"], "page_start": None, "page_end": None}]
-    assert len(chunks_of(["# A\n\n## B\n\nshort\n\n## C\n\nalso short"], limit=128, strategy="hierarchical")) == 2
+    assert len(chunked(spark, ["# A\n\n## B\n\nshort\n\n## C\n\nalso short"], limit=128, strategy="hierarchical")) == 2
 
 
-def test_overlap_carries_the_end():
-    found = chunks_of(["\n\n".join(PROSE * 2 for _ in range(10))], limit=64, overlap=16)
+def test_overlap_carries_the_end(spark):
+    found = chunked(spark, ["\n\n".join(PROSE * 2 for _ in range(10))], limit=64, overlap=16)
     assert len(found) > 2
     for before, after in zip(found, found[1:], strict=False):
         assert after["text"].split("\n\n")[0].split()[-1] == before["text"].split()[-1]
 
 
-def test_pages_and_wrapped_lines():
-    found = [(p.level, p.text, p.page) for p in parts(["INTRODUCTION\nsome wrap-\nped text, well-\nKnown people said so.", "and on the next page."], True)]
-    assert found == [(1, "INTRODUCTION", 1), (0, "some wrapped text, well- Known people said so.", 1), (0, "and on the next page.", 2)]
+def blocked(spark, pages, paged):
+    found = blocks.blocks(spark.createDataFrame([(1, pages, paged)], DOCUMENT), "id").orderBy("place").collect()
+    return [(r["level"], r["text"], r["page"], r["path"]) for r in found]
+
+
+def test_pages_and_wrapped_lines(spark):
+    pages = ["INTRODUCTION\nsome wrap-\nped text, well-\nKnown people said so.", "and on the next page.", None]
+    assert blocked(spark, pages, True) == [(1, "INTRODUCTION", 1, ["INTRODUCTION"]), (0, "some wrapped text, well- Known people said so.", 1, ["INTRODUCTION"]), (0, "and on the next page.", 2, ["INTRODUCTION"])]
+
+
+def test_headings_without_markup(spark):
+    lines = ["Part One of it.", "A Title In Capitals", "1.2.3 numbered line", "1.2.3.4.5.6 deep", "chapter one of many", "SHOUTED LINE", "A sentence like this", "It's Not One", "x" * 130, "12", "Over The Top."]
+    found = blocked(spark, ["\n\n".join(lines)], False)
+    assert [(level, text) for level, text, _, _ in found] == [(0, lines[0]), (1, lines[1]), (3, lines[2]), (4, lines[3]), (1, lines[4]), (1, lines[5]), (0, lines[6]), (0, lines[7]), (0, lines[8]), (0, "12"), (0, lines[10])]
+    assert found[3][3] == [lines[1], lines[2], lines[3]]
+    marked = blocked(spark, ["\n\n".join([*lines, "## Marked"])], False)
+    assert [level for level, *_ in marked] == [0] * len(lines) + [2]
+
+
+def test_fences_are_text(spark):
+    text = "# A\n\nbefore\n```\n# no heading\n\n  code-\nmore\n```\n\nafter  \nend"
+    assert [(level, t) for level, t, _, _ in blocked(spark, [text], False)] == [(1, "A"), (0, "before\n```\n# no heading\n\n  code-\nmore\n```"), (0, "after\nend")]
+    assert [t for _, t, _, _ in blocked(spark, [text], True)] == ["A", "before ``` # no heading    code-more ```".replace("code-more", "codemore"), "after end"]
+
+
+def test_markdown_of_blocks(spark):
+    df = spark.createDataFrame([(1, ["# A\ntext\n\n\n## B ##", "last"], False), (2, [], False), (3, None, False), (4, [None, " "], True)], DOCUMENT)
+    assert dict(chunking.markdown_documents(df, "id").collect()) == {1: "# A\n\ntext\n\n## B\n\nlast\n", 2: "", 3: None, 4: ""}
 
 
 def test_bad_sizes_are_refused():
@@ -67,20 +103,40 @@ def test_bad_sizes_are_refused():
         chunking.Packer(64, strategy="other")
 
 
-@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.text(alphabet="ab .!?\n…", max_size=400), st.integers(16, 40))
-def test_pieces_lose_no_word(text, limit):
-    found = pieces(text, limit)
-    assert " ".join(found).split() == text.split()
-    assert all(tokens(p) <= limit or len(p.split()) == 1 for p in found)
-
-
-def test_chunk_column_handles_nulls(spark):
-    df = spark.createDataFrame([(1, None, False), (2, [], False), (3, ["", None, "x"], True)], "id int, pages array<string>, paged boolean")
-    found = {r["id"]: r["c"] for r in df.select("id", chunking.chunk_column(F.col("pages"), F.col("paged")).alias("c")).collect()}
-    assert found[1] is None
-    assert found[2] == []
-    assert found[3][0]["page_start"] == 3
+def filled(text, limit):
+    """Pieces of a paragraph, one unit after the other."""
+    units = []
+    for sentence in re.split(r"(?<=[.!?…])\s+", text):
+        units += [(w, n == 0) for n, w in enumerate(sentence.split())] if tokens(sentence) > limit else [(sentence, False)]
+    done = [""]
+    for unit, fresh in units:
+        longer = f"{done[-1]} {unit}".strip() if done[-1] else unit
+        if done[-1] and (fresh or tokens(longer) > limit):
+            done.append(unit)
+        else:
+            done[-1] = longer
+    return [p for p in done if p]
+
+
+def test_pieces_of_random_paragraphs(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aaab  .!?\n…") for _ in range(rng.randint(0, 400))) for _ in range(60)] + ["", "x" * 500 + " y. z", "one. two.  three"]
+    for limit in (16, 40):
+        df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+        found = dict(df.select("n", chunking.split_long(F.col("t"), limit)).collect())
+        for n, text in enumerate(texts):
+            assert found[n] == filled(text, limit)
+            assert " ".join(found[n]).split() == text.split()
+            assert all(tokens(p) <= limit or len(p.split()) == 1 for p in found[n])
+
+
+def test_chunks_of_many_documents(spark):
+    df = spark.createDataFrame([(1, None, False), (2, [], False), (3, ["", None, "x"], True), (4, ["a\n\nb"], False)], DOCUMENT).withColumn("text", F.lit("kept"))
+    found = {r["id"]: r for r in chunking.chunk_documents(df.withColumn("name", F.concat(F.lit("n"), "id")), ["id", "name"]).collect()}
+    assert found.keys() == {3, 4}
+    assert (found[3]["page_start"], found[3]["name"]) == (3, "n3")
+    assert (found[4]["text"], found[4]["seq"]) == ("a\n\nb", 0)
+    assert chunking.chunk_documents(df.limit(0), ["id"]).count() == 0
 
 
 MAPPING = rows.RowMapping("notes", "id", ("body",), "title", ("status",))

@@ -12,6 +12,7 @@ from bookwright.errors import EmbedderMismatch, EmbeddingUnavailable, ExportErro
 from bookwright.functions.embedding import HashingEmbedder, HttpEmbedder, embed, resolve, shortened
 from bookwright.operators import exporting
 from bookwright.operators.rows import RowMapping
+from bookwright.sources import databases
 from bookwright.operators.search import word_index
 from bookwright.tools import Tools
 from bookwright.streaming.ingest import ITEMS, arrivals, ingest_stream
@@ -146,20 +147,98 @@ def test_library_export(spark, tmp_path, server):
     rows = lambda *names: spark.createDataFrame([(f"/{n}", n, f"text of {n}") for n in names], "source_path string, source_name string, text string")
     engine.ingest_texts(rows("tomb_one.pdf", "two.md", "srd.txt", "two.txt"), "c")
     report = engine.export_library("c", url(server), "key", OWNER)
-    assert (report.documents, report.chunks, report.removed) == (2, 2, [])
-    assert sorted(report.skipped) == ["srd.txt: reserved", "two.txt: duplicate"]
-    posted = [b for m, p, b, _ in server.seen if m == "POST" and p.endswith("chunks")]
-    assert sorted((b[0]["source_book"], b[0]["category"], len(b)) for b in posted) == [("Tomb One", "adventure", 1), ("Two", "sourcebook", 1)]
+    assert (report.documents, report.chunks, report.removed.count()) == (2, 2, 0)
+    assert sorted(map(tuple, report.skipped.collect())) == [("srd.txt", "reserved"), ("two.txt", "duplicate")]
+    assert {b["name"] for m, p, b, _ in server.seen if m == "POST" and "books" in p and b["updated_at"]} == {"Tomb One", "Two"}
+    posted = [r for m, p, b, _ in server.seen if m == "POST" and p.endswith("chunks") for r in b]
+    assert sorted((r["source_book"], r["category"]) for r in posted) == [("Tomb One", "adventure"), ("Two", "sourcebook")]
     assert server.seen[0][3]["Authorization"] == "Bearer key"
     engine.remove("/tomb_one.pdf", "c")
     server.seen.clear()
-    assert engine.export_library("c", url(server), "key", OWNER).removed == ["Tomb One"]
+    assert [r["item"] for r in engine.export_library("c", url(server), "key", OWNER).removed.collect()] == ["Tomb One"]
     assert sum(m == "DELETE" and "user_library_books" in p for m, p, _, _ in server.seen) == 1
     server.answer = lambda request: (500, "no")
     with pytest.raises(Exception, match="refused"):
         engine.export_library("c", url(server), "key", OWNER)
     with pytest.raises(ExportError, match="no collection"):
         engine.export_library("d", url(server), "key", OWNER)
+    with pytest.raises(ExportError, match="searches with"):
+        engine.export_library("c", url(server), "key", OWNER, "other")
+
+
+def test_batches_are_posted_whole(spark, server):
+    rows = spark.range(450).select(F.lit(OWNER).alias("user_id"), F.concat(F.lit('c"'), "id").alias("chunk_id"), F.when(F.col("id") < 400, "Big").otherwise("Small").alias("source_book"))
+    assert sorted(map(tuple, exporting.rest_export(rows, url(server), "key", batch=50).collect())) == [("Big", 400), ("Small", 50)]
+    posted = [r["chunk_id"] for m, p, b, _ in server.seen if m == "POST" and p.endswith("chunks") for r in b]
+    assert len(posted) == len(set(posted)) == 450
+    assert all(len(b) <= 50 for m, p, b, _ in server.seen if m == "POST" and p.endswith("chunks"))
+    library = exporting.Library(url(server), "key")
+    library.clear_chunks(OWNER, ['a"b', "c\\d"])
+    assert "in.%28%22a%5C%22b%22%2C%22c%5C%5Cd%22%29" in server.seen[-1][1]
+    with pytest.raises(ExportError, match="reached"):
+        exporting.Library("http://127.0.0.1:9", "key", timeout=1).clear(OWNER, "x")
+
+
+DERBY = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+def test_table_statements():
+    made = exporting.table_statements("chunks", 384)
+    assert any("embedding vector(384) NOT NULL" in s and "UNIQUE (collection, chunk_id)" in s for s in made)
+    assert any("USING hnsw" in s for s in made) and not any("hnsw" in s for s in exporting.table_statements("chunks", 3000))
+    swap = exporting.replace_statements("chunks", "new")
+    assert swap[0] == "DELETE FROM chunks WHERE collection = ?" and "embedding::vector FROM new WHERE collection = ?" in swap[1]
+    with pytest.raises(ExportError):
+        exporting.table_statements("Bad Name", 3)
+
+
+def test_transactions_are_all_or_none(spark, tmp_path):
+    at = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    exporting.staged(spark.createDataFrame([("a", 1)], "name string, n int"), at, "T1", **DERBY)
+    with exporting.Transaction(spark, at, **DERBY) as t:
+        t.run('INSERT INTO T1 ("name", "n") VALUES (?, 2)', "b")
+    with pytest.raises(ExportError, match="failed"), exporting.Transaction(spark, at, **DERBY) as t:
+        t.run("DELETE FROM T1")
+        t.run("DELETE FROM missing")
+    with exporting.Transaction(spark, at, **DERBY) as t:
+        assert sorted(t.run('SELECT "name" FROM T1')) == ["a", "b"]
+    read = databases.read_jdbc(spark, at, "select * from T1", "n", 2, **DERBY)
+    assert sorted(map(tuple, read.collect())) == [("a", 1), ("b", 2)]
+
+
+def test_rows_for_a_table(engine):
+    rows = exporting.table_rows(engine.store.chunks(), engine.store.documents(), "default", "e").collect()
+    assert len(rows) == engine.store.chunks().count()
+    assert json.loads(rows[0]["tags"]) == ["home"] and rows[0]["embedding"].startswith("[")
+
+
+def test_process_writes_folders(spark, folder, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lib"), HashingEmbedder(8), Config(max_tokens=64, overlap_tokens=16, custom_tags=("x",)))
+    found = {r["source_name"]: r for r in engine.process([str(folder)], str(tmp_path / "out")).collect()}
+    assert found["broken.epub"]["error"] and found["baking.txt"]["total_chunks"] == 1
+    chunks = spark.read.json(str(tmp_path / "out" / "chunks")).where("source_name = 'routers.md'").collect()
+    assert sorted(r["chunk_id"] for r in chunks)[0] == "routers_chunk_001"
+    first = min(chunks, key=lambda r: r["chunk_id"])["metadata"]
+    assert (first["source_file"], first["chunk_index"], first["custom_tags"], first["total_chunks"]) == ("routers.md", 1, ["x"], len(chunks))
+    text = spark.read.text(str(tmp_path / "out" / "markdown"), wholetext=True).where("source_name = 'routers.md'").collect()[0]["value"]
+    assert text.startswith("# Routers\n\nThe router")
+    assert spark.read.json(str(tmp_path / "out" / "manifest")).where("max_tokens = 64").count() == 3
+
+
+def test_compacting_changes_nothing_that_is_seen(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lib"), HashingEmbedder(8))
+    rows = lambda text, *ids: spark.createDataFrame([(f"p{n}", f"n{n}", f"{text} {n}") for n in ids], "source_path string, source_name string, text string")
+    engine.ingest_texts(rows("old", 1, 2, 3), "c")
+    engine.ingest_texts(rows("new", 1, 2), "c", tags=["t"])
+    engine.ingest_texts(rows("kept", 9), "d")
+    engine.remove("p3", "c")
+    shown = lambda: [sorted(map(str, f.collect())) for f in (engine.store.documents(), engine.store.chunks(), engine.store.index().postings, engine.store.index().lengths)]
+    before = shown()
+    assert len(before[0]) == 3 and engine.store._table("chunks", ["c"]).count() == 5
+    engine.store.compact("c")
+    assert shown() == before
+    assert engine.store._table("chunks", ["c"]).count() == 2 and engine.store._table("chunks", ["d"]).count() == 1
+    assert engine.search("new", "c", mode="keyword").count() == 2
 
 
 def test_folder_export(spark, engine, tmp_path):
@@ -175,8 +254,6 @@ def test_literals_and_json(spark):
     df = spark.createDataFrame([(1, [0.1, -2.0, 1e-7]), (2, None)], "id int, v array<float>")
     assert [r[0] for r in df.select(exporting.vector_literal(F.col("v"))).collect()] == ["[0.1,-2,1e-07]", None]
     assert json.loads(exporting.as_json(df).collect()[1][0]) == {"id": 2, "v": None}
-    with pytest.raises(ExportError):
-        exporting.jdbc_export(df, "jdbc:x", "Bad Name")
     with pytest.raises(ExportError):
         exporting.library_rows(df, "me", F.lit("b"), F.lit("c"))
 

@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bookwright.functions import text as fn
-from bookwright.functions.markup import html_text, read
-from bookwright.functions.stemming import stem, term, terms
+from bookwright.functions.markup import html_text
+from bookwright.functions.stemming import stem, stem_column, term, tokens as index_tokens
 from bookwright.operators.chunking import tokens
 
 
@@ -63,20 +63,31 @@ def test_shared_path_and_tail(spark):
     assert column(spark, ["a b"], lambda t: fn.overlap_tail(t, 0)) == [""]
 
 
-def test_html():
-    page = "<html><head><title>T</title></head><body><h2>Head</h2><p>one&nbsp; two<script>x()</script></p><div>three<br>four</div><img src='a.png'></body>"
-    found = read(page)
-    assert found.text() == "## Head\n\none two\n\nthree\nfour"
-    assert found.images == ["a.png"]
-    assert read("a & b &am").text() == ""
+PAGES = {
+    "<html><head><title>T</title></head><body><h2>Head</h2><p>one&nbsp; two<script>x()</script></p><div>three<br>four</div><img src='a.png'></body>": "## Head\n\none two\n\nthree\nfour",
+    "<p>x</p>": "x",
+    "": "",
+    "plain text\n with  blanks": "plain text\nwith blanks",
+    "a &lt;b&gt; &amp; c &#8212; d": "a <b> & c — d",
+    "<ul><li>one<li>two</ul><table><tr><td>a</td><td>b</td></tr></table>": "one\ntwo\n\nab",
+    "x<!-- <p>hidden</p> -->y": "xy",
+    "<STYLE type='a>b'>p{}</STYLE>shown <noscript><p>no</p></noscript>": "shown",
+    "<script>never closed <p>gone</p>": "",
+    "<h1 class=\"a>b\">Top</h1>text<h6>deep</h6>": "# Top\ntext\n\n###### deep",
+    "<header>kept</header> <titles>kept too</titles>": "kept kept too",
+    "1 < 2 and <a href='x'>link</a>s": "1 < 2 and links",
+    "unfinished <a hre": "unfinished",
+    "<p>a</p>\n\n\n\n<p>b</p>": "a\n\nb",
+}
 
 
 def test_html_column(spark):
-    assert column(spark, ["<p>x</p>", None, ""], html_text) == ["x", None, ""]
+    assert column(spark, [*PAGES, None], html_text) == [*PAGES.values(), None]
 
 
 def test_terms_fold_case_and_accents(spark):
-    assert column(spark, ["Café CAFES running", None], terms) == [["cafe", "cafe", "run"], []]
+    assert column(spark, ["Café CAFES running", None], index_tokens) == [["café", "cafes", "running"], []]
+    assert column(spark, ["café", "cafes", "running", None], stem_column) == ["cafe", "cafe", "run", None]
     assert term("été") == term("été")
 
 
