@@ -200,8 +200,10 @@ def _short(parts: str, signs: str) -> str:
     return f"(len(list_filter({parts}, lambda w: length({_bare('w', signs)}) <= 2)) / len({parts}))"
 
 
-@registered(rf"""
-with s as (select id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from chunks where text is not null),
+def _cleaned(text: str) -> str:
+    """Common table expressions of kept lines: ``id``, ``pos``, ``line``, ``blanks``, ``before``."""
+    return rf"""
+s as (select id, unnest(string_split({text}, chr(10))) as line, generate_subscripts(string_split({text}, chr(10)), 1) - 1 as pos from chunks where text is not null),
 m as (select id, pos, {_strip('line')} as raw, sum(({_strip('line')} = '')::int) over (partition by id order by pos) as blanks from s),
 w as (select *, {_words('raw')} as p from m where raw <> ''),
 k as (select * from w where not (regexp_matches(raw, '^\p{{Nd}}{{1,4}}$') or (length(raw) > 2 and regexp_matches(raw, '^[\p{{Nd}}{WS}]+$')) or (length(raw) <= 4 and {_letters('raw')} <= 2)
@@ -210,14 +212,28 @@ r as (select *, len(p) - coalesce(list_position(list_reverse(list_transform(p, l
 c as (select *, case when len(p) >= 5 and real >= 2 and real < len(p) - 2 and {_short('p[real + 2:]', '.,;:!?@')} > 0.5 and regexp_replace(array_to_string(p[1:real + 1], ' '), '[ ,;:]+$', '') <> ''
   then regexp_replace(array_to_string(p[1:real + 1], ' '), '[ ,;:]+$', '') else raw end as line from r),
 f as (select *, lag(line) over (partition by id order by pos) as last from c),
-g as (select *, lag(blanks) over (partition by id order by pos) as before from f where last is null or raw <> last)
-select id, pos::int as pos, line, coalesce(blanks > before, false) as gap from g""")
+g as (select *, lag(blanks) over (partition by id order by pos) as before from f where last is null or raw <> last)"""
+
+
+@registered(f"with {_cleaned('text')} select id, pos::int as pos, line, coalesce(blanks > before, false) as gap from g")
 def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks", "id", "text").where("text is not null")
     return cleaning.clean_lines(chunks.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")), ["id"])
 
 
-@registered()
+def _unescaped(column: str) -> str:
+    """Character references resolved; of named ones SQL knows these."""
+    for reference, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+        column = f"replace({column}, '{reference}', '{sign}')"
+    return column
+
+
+_PLAIN = f"regexp_replace({_unescaped('text')}, '[{cleaning.SILENT}]', '', 'g')"
+
+
+@registered(f"""
+with {_cleaned(_PLAIN)}, j as (select id, string_agg(case when blanks > before then chr(10) else '' end || line, chr(10) order by pos) as cleaned from g group by id)
+select c.id, coalesce(cleaned, '') as text from chunks c left join j using (id)""")
 def cleaned_pages(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.clean_pages(table(spark, folder, "chunks", "id", "text"), ["id"])
 
@@ -313,7 +329,24 @@ def documents_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.markdown_documents(_paged(spark, folder), "doc_id").select("doc_id", F.md5("markdown").alias("digest"))
 
 
-@registered()
+def _html() -> str:
+    """A page's text by one replacement after another; a self-closing hidden element counts as open."""
+    rest = """(?:[\\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*)?>"""
+    steps = [(r"(?s)<!--.*?(?:-->|$)|<!\[CDATA\[|\]\]>", "''")]
+    steps += [(f"(?is)<{name}{rest}.*?(?:</{name}\\s*>|$)", "''") for name in ("script", "style", "head", "title", "noscript")]
+    steps += [(f"(?i)<h{n}{rest}", f"chr(10) || chr(10) || '{'#' * n} '") for n in range(1, 7)]
+    blocks_ = "p|div|br|li|tr|section|article|blockquote|pre|table"
+    steps += [(f"(?i)</?(?:{blocks_}){rest}|</h[1-6]{rest}", "chr(10)"), (f"(?i)</?[a-z][^\\s/>]*{rest}|<[!?/][^>]*>|<[a-z/!?][^>]*$", "''")]
+    column = "text"
+    for pattern, new in steps:
+        column = f"regexp_replace({column}, '{pattern}', {new}, 'g')"
+    column, line = _unescaped(column), WS.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}")
+    for pattern, new in ((r"[ \t\x{a0}]+", "' '"), (f"(?m)^[{line}]+|[{line}]+$", "''"), (r"\n{3,}", "chr(10) || chr(10)")):
+        column = f"regexp_replace({column}, '{pattern}', {new}, 'g')"
+    return _strip(column)
+
+
+@registered(f"select doc_id, {_html()} as text from documents")
 def html_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text").select("doc_id", html_text(F.col("text")).alias("text"))
 
@@ -589,7 +622,10 @@ def export_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("collection").agg(F.countDistinct("source_path").alias("documents"), F.count("*").alias("chunks"))
 
 
-@registered()
+@registered(f"""
+with {_BM25}, k as (select id, row_number() over (order by round(s, 9) desc, id) as kr from b order by round(s, 9) desc, id limit 10)
+select to_json({{'rank': kr::int, 'chunk_id': chunk_id, 'collection': d.collection, 'source_path': source_path, 'source_name': source_name, 'seq': seq, 'text': c.text, 'page_start': page_start, 'page_end': page_end, 'section_title': section_title,
+  'heading_path': heading_path, 'score': round(1 / (60.0 + kr), 6), 'vector_score': null, 'keyword_rank': kr::int, 'tags': tags}})::varchar as value from k join chunks c using (id) join documents d on d.doc_id = c.document_id""")
 def hits_as_json(spark: SparkSession, folder: str) -> DataFrame:
     chunks, docs = table(spark, folder, "chunks"), table(spark, folder, "documents")
     return exporting.as_json(search.search(chunks, docs, _index(spark, folder), SEARCHED, None, k=10, mode="keyword"))
