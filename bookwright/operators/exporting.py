@@ -93,8 +93,8 @@ def manifest(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return shown.join(made, "doc_id", "left").na.fill(0, ["chunks", "tokens"]).drop("doc_id")
 
 
-def with_metadata(chunks: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
-    """``source_name``, ``chunk_id``, ``text``, ``token_count`` and ``metadata`` of rows with the columns of a chunk, its ``source_name`` and ``total_chunks``.
+def with_metadata(chunks: DataFrame, tags: Sequence[str] = (), *carried: str) -> DataFrame:
+    """``carried``, ``source_name``, ``chunk_id``, ``text``, ``token_count`` and ``metadata`` of rows with the columns of a chunk, its ``source_name`` and ``total_chunks``.
 
     The id is that of the folder: the name of the document and the number of the
     chunk, as wide as the last one's and three digits at least.
@@ -105,7 +105,7 @@ def with_metadata(chunks: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
         F.col("source_name").alias("source_file"), "page_start", "page_end", section_title(F.col("heading_path")).alias("section_title"), "heading_path", F.array(F.lit("paragraph")).alias("element_types"),
         (F.col("seq") + 1).alias("chunk_index"), "total_chunks", F.array(*map(F.lit, tags)).cast("array<string>").alias("custom_tags"), F.current_timestamp().alias("created_at"),
     )
-    return chunks.select("source_name", F.concat(stem, F.lit("_chunk_"), F.lpad(number, F.greatest(width, F.length(number)), F.lit("0"))).alias("chunk_id"), "text", "token_count", metadata.alias("metadata"))
+    return chunks.select(*carried, "source_name", F.concat(stem, F.lit("_chunk_"), F.lpad(number, F.greatest(width, F.length(number)), F.lit("0"))).alias("chunk_id"), "text", "token_count", metadata.alias("metadata"))
 
 
 def library_rows(chunks: DataFrame, owner: str, book: Column, kind: Column) -> DataFrame:

@@ -351,6 +351,23 @@ def html_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text").select("doc_id", html_text(F.col("text")).alias("text"))
 
 
+_HELD = _strip("acc.held || ' ' || x.text")
+_FULL = f"(acc.held <> '' and (x.fresh or ({_estimate(_HELD)}) > 64))"
+
+
+@registered(f"""
+with c1 as (select id, text, string_split(regexp_replace(text, '([.!?…])[{WS}]+', '\\1' || chr(1), 'g'), chr(1)) as own from chunks where text is not null),
+c2 as (select id, text, own, flatten(list_transform(own, lambda q: case when ({_estimate('q')}) > 64 then list_transform({_words('q')}, lambda w, i: {{'t': w, 'f': i = 1}}) else [{{'t': q, 'f': false}}] end)) as units from c1),
+c3 as (select id, text, own, list_reduce(list_transform(units, lambda y: {{'done': []::varchar[], 'held': '', 'text': y.t, 'fresh': y.f}}),
+  lambda acc, x: {{'done': case when {_FULL} then list_append(acc.done, acc.held) else acc.done end, 'held': case when {_FULL} or acc.held = '' then x.text else {_HELD} end, 'text': '', 'fresh': false}},
+  {{'done': []::varchar[], 'held': '', 'text': '', 'fresh': false}}) as r from c2),
+c4 as (select id, list_filter(case when ({_estimate('text')}) > 64 then list_append(r.done, r.held) when len(own) > 1 then [{_strip("array_to_string(own, ' ')")}] else [text] end, lambda x: x <> '') as pieces from c3)
+select id, len(pieces) as pieces, md5(array_to_string(pieces, chr(1))) as digest from c4""")
+def long_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = table(spark, folder, "chunks", "id", "text").where("text is not null").select("id", chunking.split_long(F.col("text"), 64).alias("p"))
+    return pieces.select("id", F.size("p").cast("bigint").alias("pieces"), F.md5(F.array_join("p", "\x01")).alias("digest"))
+
+
 # Vectors
 
 
@@ -631,6 +648,55 @@ def hits_as_json(spark: SparkSession, folder: str) -> DataFrame:
     return exporting.as_json(search.search(chunks, docs, _index(spark, folder), SEARCHED, None, k=10, mode="keyword"))
 
 
+@registered("select doc_id, source_path from documents where source_path = (select min(source_name) from documents) or source_name = (select min(source_name) from documents)")
+def documents_matched(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "source_path", "source_name")
+    source = docs.agg(F.min("source_name")).collect()[0][0]
+    return docs.where(listing.matches(source, F.col("source_path"), F.col("source_name"))).select("doc_id", "source_path")
+
+
+@registered("select d.doc_id, d.collection from documents d join collections c on c.name = d.collection where c.embedder = (select min(embedder) from collections)")
+def searchable_documents(spark: SparkSession, folder: str) -> DataFrame:
+    collections = table(spark, folder, "collections")
+    embedder = collections.agg(F.min("embedder")).collect()[0][0]
+    return table(spark, folder, "documents", "doc_id", "collection").where(F.col("collection").isin(listing.searchable(collections, embedder)))
+
+
+@registered(r"""
+select c.id, regexp_replace(d.source_name, '\.[^.]+$', '') || '_chunk_' || case when length((seq + 1)::varchar) >= greatest(3, length(d.total_chunks::varchar)) then (seq + 1)::varchar else lpad((seq + 1)::varchar, greatest(3, length(d.total_chunks::varchar))::int, '0') end as chunk_id,
+  d.source_name as source_file, coalesce(heading_path[-1], '') as section, array_to_string(heading_path, ' › ') as path, seq + 1 as chunk_index, d.total_chunks, page_start, page_end, 'kept' as tags
+from chunks c join documents d on c.document_id = d.doc_id""")
+def chunk_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", F.col("doc_id").alias("document_id"), "source_name", "total_chunks")
+    chunks = table(spark, folder, "chunks", "id", "document_id", "seq", "text", "token_count", "page_start", "page_end", "heading_path").join(docs, "document_id")
+    m = "metadata."
+    return exporting.with_metadata(chunks, ("kept",), "id").select(
+        "id", "chunk_id", m + "source_file", F.col(m + "section_title").alias("section"), F.array_join(m + "heading_path", fn.PATH_MARK).alias("path"), m + "chunk_index", m + "total_chunks", m + "page_start", m + "page_end", F.array_join(m + "custom_tags", ",").alias("tags"),
+    )
+
+
+@registered("""
+select 'household' as collection, c.chunk_id, d.source_name, d.source_path, md5(coalesce(c.text, '')) as digest, coalesce(c.token_count, 0) as token_count, c.page_start, c.page_end, coalesce(c.section_title, '') as section_title,
+  to_json(coalesce(heading_path, []))::varchar as heading_path, to_json(coalesce(tags, []))::varchar as tags, 'e' as embedder, '[' || array_to_string(list_transform(c.embedding, lambda x: printf('%.7g', x::double)), ',') || ']' as embedding
+from chunks c join documents d on d.doc_id = c.document_id where d.collection = 'household' and c.embedding is not null""")
+def export_table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = exporting.table_rows(table(spark, folder, "chunks"), table(spark, folder, "documents"), "household", "e")
+    return rows.select("*", F.md5("content").alias("digest")).drop("content")
+
+
+@registered(rf"""
+with {_BOOK},
+k as (select *, regexp_matches(book, '(?i)^(homebrew|srd(\s*5(\.[12])?(\.1)?)?)$') as reserved, row_number() over (partition by collection, book order by source_path) as n from x)
+select 'u' || '' as owner, c.chunk_id, k.book as source_book, case when regexp_matches(lower(k.book), 'adventure|module|campaign|curse|descent|tomb|lost mine|dragon of') then 'adventure' else 'sourcebook' end as category,
+  nullif(c.section_title, '') as section_title, c.token_count, md5(c.text) as digest
+from chunks c join documents d on d.doc_id = c.document_id join k on k.collection = d.collection and k.source_path = d.source_path where not k.reserved and k.n = 1""")
+def library_rows(spark: SparkSession, folder: str) -> DataFrame:
+    named = exporting.books(table(spark, folder, "documents", "collection", "source_path", "source_name").where("source_name is not null")).where("skipped is null").select("collection", "source_path", "book", "category")
+    found = exporting.scan(table(spark, folder, "chunks"), table(spark, folder, "documents")).join(named, ["collection", "source_path"])
+    rows = exporting.library_rows(found, "00000000-0000-4000-8000-000000000001", F.col("book"), F.col("category"))
+    return rows.select(F.lit("u").alias("owner"), "chunk_id", "source_book", "category", "section_title", "token_count", F.md5("content").alias("digest"))
+
+
 @registered("""
 with m as (select document_id as doc_id, count(*) as chunks, sum(token_count)::bigint as tokens, min(page_start) as first_page, max(page_end) as last_page from chunks group by 1)
 select collection, source_path, source_name, total_pages, ocr_used = 1 as ocr_used, coalesce(chunks, 0) as chunks, coalesce(tokens, 0) as tokens, first_page, last_page from documents left join m using (doc_id)""")
