@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bookwright.plans.lineage import cut
+
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = "асеорхуіјѕһԁԛԝѵАВЕКМНОРСТУХІЈЅԌԚԜѴ", "aceopxyijshdqwvABEKMHOPCTYXIJSGQWV"
 GREEK = "ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳͿϹ", "ovABEZHIKMNOPTYXcjJC"
@@ -155,17 +157,38 @@ def _digests(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return given.mapInArrow(run, schema)
 
 
+def _kept(digests: DataFrame) -> DataFrame:
+    """Digests of looks that have two different texts at least, each id and text once."""
+    several = digests.groupBy("look").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).where("low <> high").select("look")
+    return digests.join(several, "look", "left_semi").dropDuplicates(["id", "exact"])
+
+
 def same_look(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pairs ``doc_a`` < ``doc_b`` of texts that look the same and are not the same characters.
 
     Digests of 128 bits stand for the texts. Copies are counted before anything
     is joined: only looks with two different texts go on, so a look that a third
-    of all rows share, all with one text, costs a partial count and no join. A row repeated
+    of all rows share, all with one text, costs a partial count and no join. Of a
+    look the different texts are paired, and each pair is then given the documents
+    of either side, so copies of one text never meet each other. A row repeated
     under its id counts once; rows without id, null and blank texts make no pair.
     """
-    digests = _digests(df, id_column, text_column)
-    several = digests.groupBy("look").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).where("low <> high").select("look")
-    kept = digests.join(several, "look", "left_semi").dropDuplicates(["id", "exact"])
-    a = kept.select("look", F.col("id").alias("doc_a"), F.col("exact").alias("exact_a"))
-    b = kept.select("look", F.col("id").alias("doc_b"), F.col("exact").alias("exact_b"))
-    return a.join(b, "look").where("doc_a < doc_b and exact_a <> exact_b").select("doc_a", "doc_b").distinct()
+    kept = cut(_kept(_digests(df, id_column, text_column)))
+    texts = kept.select("look", "exact").distinct()
+    pairs = texts.select("look", F.col("exact").alias("left")).join(texts.select("look", F.col("exact").alias("right")), "look").where(F.col("left") < F.col("right")).select("left", "right")
+    x, y = kept.select(F.col("exact").alias("left"), F.col("id").alias("x")), kept.select(F.col("exact").alias("right"), F.col("id").alias("y"))
+    both = pairs.join(x, "left").join(y, "right").where("x <> y")
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+
+
+def looks(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row for each document with a text that isn't blank: ``doc_id``, ``group_id`` (least id of its look), ``texts`` (how many different ones look so).
+
+    The pairs of ``same_look`` by representatives: as many rows as documents,
+    however many share a look. Of several texts under one id the one of the least digest counts.
+    """
+    own = cut(_digests(df, id_column, text_column).groupBy("id").agg(F.min(F.struct("look", "exact")).alias("d")).select("id", "d.look", "d.exact"))
+    # Counted by text first, so that a look of a third of all rows is a few rows.
+    texts = own.groupBy("look", "exact").agg(F.min("id").alias("low"))
+    groups = texts.groupBy("look").agg(F.min("low").alias("group_id"), F.count("*").alias("texts"))
+    return own.join(groups, "look").select(F.col("id").alias("doc_id"), "group_id", "texts")

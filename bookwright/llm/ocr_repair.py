@@ -94,7 +94,8 @@ _PAGE_WORDS = {_fold(w, False) for w in ("page", "p", "pg", "pag", "pp", "no", "
 def is_header(line: str, titles: list[str], first: int | None, last: int | None) -> bool:
     """Whether a line repeats a title, alone or with a page number before or after it."""
     tokens = line.split()
-    if not tokens or len(line) > 200:
+    # A misread form has at most two letters for one, and a number stands beside the title: what is longer is no title.
+    if not tokens or sum(map(str.isalnum, line)) > 2 * max((sum(map(str.isalnum, t)) for t in titles), default=0) + 24:
         return False
     variants, number = [tokens], re.compile(r"[^\w|!]+")
     bare = [t for t in tokens if number.sub("", t)]

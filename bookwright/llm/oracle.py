@@ -51,6 +51,8 @@ def _look(column: str) -> str:
     return f"nfc_normalize(translate({bare}, '{quoted[0]}', '{quoted[1]}'))"
 
 
+_BLANK = f"regexp_replace(look, '[{_WS}]+', '', 'g') <> ''"
+
 SQL = {
     "p3_found": f"select distinct id from chunks where id is not null and {_N_WORDS} > 0 and greatest(1, length(text) // 4, {_N_WORDS} * 13 // 10) > 512",
     "p4_found": f"with {_COPIES}, {_HASHES} select 'chunks' as rec, first_id, id as copy_id from g where id <> first_id union all select 'documents', first_id, doc_id from d where doc_id <> first_id",
@@ -59,4 +61,6 @@ SQL = {
 select p.a as id_a, p.b as id_b from p join z x on x.id = p.a join z y on y.id = p.b join g u on u.id = p.a join g v on v.id = p.b where common * 2 >= x.n + y.n - common and u.first_id <> v.first_id""",
     "p8_found": f"""with l as (select doc_id, text, {_look('text')} as look from documents where text is not null)
 select a.doc_id as doc_a, b.doc_id as doc_b from l a join l b on a.look = b.look and a.doc_id < b.doc_id and a.text <> b.text where trim(a.look) <> ''""",
+    "p8_looks": f"""with l as (select doc_id, text, {_look('text')} as look from documents where text is not null)
+select doc_id, min(doc_id) over (partition by look) as group_id, dense_rank() over (partition by look order by text) + dense_rank() over (partition by look order by text desc) - 1 as texts from l where {_BLANK}""",
 }

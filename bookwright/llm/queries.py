@@ -85,12 +85,16 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.same_look(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p8_looks(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.looks(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.canonical(table(spark, folder, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_records, p4_all_records, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_records, p4_all_records, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_looks, p8_canonical)}
 
 
 def oracle_sql() -> dict[str, str]:

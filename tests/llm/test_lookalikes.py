@@ -1,6 +1,7 @@
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from bookwright.llm import lookalikes
 from bookwright.llm.lookalikes import canonical_text
@@ -51,3 +52,13 @@ def test_pairs_against_every_pair(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     expected = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if texts[a] and texts[b] and texts[a] != texts[b] and canonical_text(texts[a]) == canonical_text(texts[b])]
     assert sorted(map(tuple, lookalikes.same_look(df).collect())) == expected
+
+
+def test_looks_are_rows_and_not_pairs(spark):
+    rows = [(1, "With"), (2, "Ｗｉｔｈ"), (3, "With"), (9, "Wіth"), (4, None), (5, " "), (8, "with"), (8, "with"), (None, "With")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, lookalikes.looks(df).collect())) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (8, 8, 1), (9, 1, 3)]
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Same text").when(F.col("id") == 1, "Ｓame text").otherwise(F.concat(F.lit("own "), "id")).alias("text"))
+    assert lookalikes.looks(many).where("texts = 2").count() == 1001
+    found = lookalikes.same_look(many)
+    assert found.count() == 1000 and found.where("doc_a <> 1 and doc_b <> 1").count() == 0

@@ -73,3 +73,11 @@ def test_corrections_need_evidence(spark):
     words = spark.createDataFrame([("rnay", 1), ("cat", 5), ("c1ock", 1), ("dock", 1)], "word string, scanned long")
     counts = spark.createDataFrame([("rnay", 1), ("may", 50), ("cat", 30), ("eat", 200), ("clock", 5), ("c1ock", 1), ("dock", 40)], "word string, n long")
     assert dict(map(tuple, ocr.corrections(words, counts).collect())) == {"rnay": "may", "c1ock": "clock"}
+
+
+def test_long_headers_are_headers():
+    title = "Notes on the winter storage of garden tools " * 8
+    assert ocr.is_header(title + " 12", [title], 10, 14)
+    assert ocr.is_header(title.replace("m", "rn"), [title], 1, 2)
+    assert not ocr.is_header(title + title + title, [title], 1, 2)
+    assert not ocr.is_header("any line", [], 1, 2)
