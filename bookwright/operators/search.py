@@ -25,6 +25,8 @@ from bookwright.functions.text import citation, snippet
 #: BM25's constants, the least inverse document frequency, and the constant of rank fusion.
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
 MODES = ("hybrid", "vector", "keyword")
+#: Hits that one search may ask for; their rows are broadcast to fetch what is shown of them.
+MOST_HITS = 1 << 12
 #: Values of query vectors that may be broadcast to all chunks (64 MB), and of a block of them.
 QUERY_VALUES, QUERY_BLOCK = 1 << 23, 1 << 18
 #: Places of a document that one task orders.
@@ -256,7 +258,7 @@ def fused_top(rankings: DataFrame, k: int, mode: str = "hybrid", key: str = "id"
 
 
 def hits(top: DataFrame, chunks: DataFrame, documents: DataFrame, key: str = "id") -> DataFrame:
-    """Search hits: what is shown of the best chunks, in their order. ``top`` has at most some hundred rows."""
+    """Search hits: what is shown of the best chunks, in their order. ``top`` has at most MOST_HITS rows."""
     found = chunks.join(F.broadcast(top), key)
     docs = documents.select(F.col("doc_id").alias("document_id"), "collection", "source_path", "source_name", "tags")
     return (
@@ -280,8 +282,8 @@ def search(chunks: DataFrame, documents: DataFrame, index: WordIndex | None, que
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    if k < 1:
-        raise ValueError("k is at least 1")
+    if not 1 <= k <= MOST_HITS:
+        raise ValueError(f"k is at least 1 and at most {MOST_HITS}")
     docs = documents if collections is None else documents.where(F.col("collection").isin(list(collections)))
     among = chunks if collections is None else chunks.join(docs.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
     vectors = vector_top(among, vector, pool_size(k)) if mode != "keyword" and vector is not None and query.strip() else None

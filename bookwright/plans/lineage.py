@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers or names up to which a side of a join is broadcast (some 10 MB).
+FEW = 1 << 18
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -35,3 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.coalesce(1 << 20).checkpoint(eager=True)
+
+
+def small(df: DataFrame, number: int | None = None) -> DataFrame:
+    """``df`` to be broadcast if it has at most FEW rows, counted here unless ``number`` says; as it is if it has more."""
+    return F.broadcast(df) if (df.count() if number is None else number) <= FEW else df

@@ -122,3 +122,39 @@ def test_searchable(spark):
         listing.searchable(some, "e1", "b")
     with pytest.raises(EmbedderMismatch, match="e1, e2"):
         listing.searchable(some, "e3")
+
+
+@pytest.mark.parametrize("most", [1 << 23, 40])
+def test_more_query_values_than_are_broadcast(spark, monkeypatch, most):
+    rng = np.random.default_rng(2)
+    x, q = rng.standard_normal((300, 4)).astype(np.float32), rng.standard_normal((90, 4)).astype(np.float32)
+    monkeypatch.setattr(search, "QUERY_VALUES", most)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 50)
+    chunks = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)] + [(900, [1.0]), (901, None)], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(q)], "query_id long, vector array<float>")
+    found = search.vector_top_each(chunks, queries, 3)
+    rows = {(r["query_id"], r["vector_rank"]): r["id"] for r in found.collect()}
+    score = q.astype(np.float64) @ x.T.astype(np.float64)
+    assert rows == {(n, k + 1): int(i) for n in range(len(q)) for k, i in enumerate(np.argsort(-score[n], kind="stable")[:3])}
+
+
+def test_windows_and_previous_of_a_hot_document(spark):
+    rows = [(n, 1, n if n < 50 else n + 7, f"v{n}") for n in range(100)] + [(200, 2, 0, None), (201, None, 3, "x"), (202, 2, None, "y"), (203, 2, 5, "z")]
+    df = spark.createDataFrame(rows, "id long, document_id long, seq int, v string")
+    around = {r["id"]: (r["n_around"], r["first_seq"], r["last_seq"]) for r in search.windows(df, 2).collect()}
+    seqs = [s for _, d, s, _ in rows if d == 1]
+    for i, d, s, _ in rows:
+        near = [t for t in seqs if abs(t - s) <= 2] if d == 1 else []
+        assert around[i] == ((len(near), near[0], near[-1]) if d == 1 else around[i])
+    assert around[201] == around[202] == (0, None, None)
+    for block in (7, 4096):
+        before = {r["id"]: r["before"] for r in search.previous(df, "v", block).collect()}
+        assert [before[n] for n in range(100)] == [None, *(f"v{n}" for n in range(99))]
+        assert before[203] is None and before[200] == "y"  # a null place comes first
+
+
+def test_too_many_hits_are_refused(library):
+    chunks, docs = library
+    for k in (0, search.MOST_HITS + 1):
+        with pytest.raises(ValueError, match="at most"):
+            search.search(chunks, docs, None, "x", [1.0, 0.0], k, "vector")
