@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookwright.llm.encoding import count_tokens
-from bookwright.plans.lineage import cut
+from bookwright.plans.lineage import cut, small
 
 #: Tokens of a slice of the order, on average; a slice is summed by one task.
 SLICE = 1 << 22
@@ -36,7 +36,7 @@ def plan(available: DataFrame, targets: DataFrame, total: int | str | None = Non
     targets named twice the shares are added and the least cap holds.
     """
     wanted = targets.where("source is not null").groupBy("source").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
-    known = wanted.join(F.broadcast(available), "source", "left").na.fill(0, ["documents", "tokens"]).withColumn("most", F.col("tokens") * F.col("max_repeats"))
+    known = wanted.join(available, "source", "left").na.fill(0, ["documents", "tokens"]).withColumn("most", F.col("tokens") * F.col("max_repeats"))
     if total is None:
         reach = known.where("most > 0 and target_share > 0").agg(F.coalesce(F.min(F.col("most") / F.col("target_share")), F.lit(0.0)).alias("total"))
     elif total == CORPUS:
@@ -49,7 +49,7 @@ def plan(available: DataFrame, targets: DataFrame, total: int | str | None = Non
 def sized(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 42) -> DataFrame:
     """``doc_id``, ``source``, ``n_tokens`` and ``key`` of documents of target sources that hold any token."""
     wanted = targets.where("source is not null").select("source").distinct()
-    kept = documents.select("doc_id", "source", "text").where("doc_id is not null and text is not null").join(F.broadcast(wanted), "source", "left_semi")
+    kept = documents.select("doc_id", "source", "text").where("doc_id is not null and text is not null").join(small(wanted), "source", "left_semi")
     counted = count_tokens(kept.select("doc_id", "source", "text"), vocabulary).where("n_tokens > 0")
     return counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.source", "d.n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("key"))
 
@@ -63,8 +63,8 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str, total: int |
     ``actual_share`` (null if the mix is empty).
 
     Sources that aren't targets, null sources, ids and texts and texts without a
-    token are left out; a row repeated under its id counts once. ``targets`` is
-    a short list of sources and is broadcast, as are sums by source.
+    token are left out; a row repeated under its id counts once. ``targets`` are
+    counted, and broadcast to documents while they are few.
     """
     docs = cut(sized(documents, targets, vocabulary, seed))
     sums = docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
@@ -73,7 +73,7 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str, total: int |
     # The slice by the upper bits of the key: rows of a slice are neighbours in the order.
     place = F.floor((F.shiftrightunsigned("key", 33) / F.lit(float(1 << 31))) * slices).cast("bigint")
     ordered = F.shiftrightunsigned("key", 1)
-    keyed = docs.join(F.broadcast(planned.where("budget > 0").select("source", "tokens", "budget")), "source").withColumn("slice", place).withColumn("order", ordered)
+    keyed = docs.join(small(planned.where("budget > 0").select("source", "tokens", "budget")), "source").withColumn("slice", place).withColumn("order", ordered)
     by_slice = keyed.groupBy("source", "slice").agg(F.sum("n_tokens").alias("in_slice"))
     before = by_slice.withColumn("base", F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice")) - F.col("in_slice")).drop("in_slice")
     upto = F.sum("n_tokens").over(Window.partitionBy("source", "slice").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
@@ -86,7 +86,7 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str, total: int |
     everything = got.agg(F.sum("mixed_tokens").alias("all"))
     report = (
         planned.select("source", "target_share", "max_repeats", "documents", F.col("tokens").alias("available_tokens"))
-        .join(F.broadcast(got), "source", "left")
+        .join(got, "source", "left")
         .na.fill(0, ["mixed_documents", "mixed_tokens"])
         .crossJoin(F.broadcast(everything))
         .withColumn("actual_share", F.col("mixed_tokens") / F.col("all"))

@@ -31,14 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookwright.llm.copies import leaf, record_form
-from bookwright.plans.lineage import cut
+from bookwright.plans.lineage import FEW, cut, small
 
 #: Words of a run, least share of common runs, groups of bands, left bands of a group (of one minhash), right bands (of two), bits of the sketch, seed.
 RUN, SIMILARITY, GROUPS, LEFT, RIGHT, BITS, SEED = 3, 0.5, 12, 2, 3, 128, 5
 #: Keys of a task, least number of tasks, texts of a key from which it is compared in blocks of so many, part of the classes that are asked which keys these are.
 TASK, TASKS, CROWD, PROBE = 1 << 19, 64, 1 << 13, 64
-#: Rows up to which they are broadcast (some 10 MB); more are joined by a shuffle.
-FEW = 1 << 18
 WORDS = re.compile(r"[^\W_]+")
 _BLOCK = 1 << 19
 
@@ -151,16 +149,11 @@ def _least_common_bits(least: float) -> int:
     return int(BITS / 2 * mean - 3 * (BITS / 2 * spread) ** 0.5)
 
 
-def _small(rows: DataFrame, number: int | None = None) -> DataFrame:
-    """``rows`` to be broadcast if they are few."""
-    return F.broadcast(rows) if (rows.count() if number is None else number) <= FEW else rows
-
-
 def _verified(pairs: DataFrame, rows: DataFrame, least: float, run: int) -> DataFrame:
     """``a``, ``b``, ``similarity`` of pairs that are similar enough and no copies, from their words."""
     needed = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     number = needed.count()
-    rows = rows.join(_small(needed, number), "id", "left_semi") if number <= FEW else rows
+    rows = rows.join(small(needed, number), "id", "left_semi") if number <= FEW else rows
     a = rows.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     b = rows.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("ta", T.StringType()), T.StructField("tb", T.StringType())])
@@ -200,10 +193,10 @@ def _met(heads: DataFrame, most_apart: int) -> DataFrame:
     asked = _keys(heads.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(PROBE)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
     hot = cut(asked.where((F.col("n") * PROBE > CROWD) & (F.col("n") > 1)).select("key", F.ceil(F.col("n") * PROBE / CROWD).alias("blocks")))
     number, tasks = hot.count(), max(TASKS, -(-heads.count() * GROUPS * LEFT * RIGHT // TASK))
-    calm = keyed if not number else keyed.join(_small(hot.select("key"), number), "key", "left_anti")
+    calm = keyed if not number else keyed.join(small(hot.select("key"), number), "key", "left_anti")
     found = meet(calm.repartition(tasks, "key"), "key")
     if number:
-        own = keyed.join(_small(hot, number), "key").withColumn("own", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        own = keyed.join(small(hot, number), "key").withColumn("own", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         spread = own.select("key", F.least("own", "block").alias("i"), F.greatest("own", "block").alias("j"), "own", "s1", "s2")
         found = found.unionByName(meet(spread, "key", "i", "j"))
     x, y = heads.select(F.col("id").alias("x"), F.col("s1").alias("a1"), F.col("s2").alias("a2")), heads.select(F.col("id").alias("y"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
@@ -226,7 +219,7 @@ def class_pairs(chunks: DataFrame, least: float = SIMILARITY, run: int = RUN, id
     kinds = signed.groupBy(*word).agg(F.min("id").alias("rep"))
     named = cut(signed.select("id", *word).distinct().join(kinds, word))
     members = named.select("id", "rep").distinct()
-    heads = signed.join(_small(named.where("id <> rep").select("id", *word)), ["id", *word], "left_anti").select("id", "s1", "s2", "left", "right")
+    heads = signed.join(small(named.where("id <> rep").select("id", *word)), ["id", *word], "left_anti").select("id", "s1", "s2", "left", "right")
     met = cut(_met(heads, BITS - _least_common_bits(least)))
     verified = _verified(met, rows, least, run).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     return cut(verified), members

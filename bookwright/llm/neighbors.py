@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookwright.plans.lineage import cut
+from bookwright.plans.lineage import cut, small
 
 #: Tables, hashes of a bucket, single perturbations visited, width of a hash for unit vectors, seed.
 TABLES, HASHES, PROBES, WIDTH, SEED = 10, 24, 3, 3.0, 20240229
@@ -125,9 +125,6 @@ def candidates(classes: DataFrame, min_similarity: float, crowd: int = CROWD) ->
     if crowded.isEmpty():
         return meet(stored, looking, "bucket").distinct()
 
-    def small(hot: DataFrame) -> DataFrame:
-        return F.broadcast(hot) if hot.count() <= FEW else hot
-
     visits = looking.join(small(crowded), "bucket").groupBy("bucket", "blocks").agg(F.ceil(F.count("*") / crowd).alias("visits"))
     hot = small(cut(visits))
 
@@ -237,7 +234,7 @@ def vectors(chunks: DataFrame, documents: DataFrame, collections: DataFrame) ->
     collections, and rows without id are left out. Repeated rows stay.
     """
     pinned = collections.select(F.col("name").alias("collection"), "embedder", "dim").where("name is not null and embedder is not null").dropDuplicates(["collection"])
-    homes = documents.select(F.col("doc_id").alias("document_id"), "collection").join(F.broadcast(pinned), "collection").dropDuplicates(["document_id"])
+    homes = documents.select(F.col("doc_id").alias("document_id"), "collection").join(small(pinned), "collection").dropDuplicates(["document_id"])
     given = chunks.select(F.col("id").cast("bigint").alias("id"), "document_id", F.col("embedding").cast("array<float>").alias("embedding")).where("id is not null and embedding is not null")
     usable = given.join(homes, "document_id").where(F.size("embedding") == F.col("dim")).select("id", F.xxhash64("embedder", "dim").alias("space"), "embedding")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("space", T.LongType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
