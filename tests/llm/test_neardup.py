@@ -1,10 +1,16 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from bookwright.llm import copies, neardup
 
 
+@pytest.fixture(autouse=True)
+def few_tasks(monkeypatch):
+    monkeypatch.setattr(neardup, "TASKS", 4)
+
+
 def library(n=120, seed=5):
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
