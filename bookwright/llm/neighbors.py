@@ -37,6 +37,8 @@ from bookwright.plans.lineage import cut, small
 TABLES, HASHES, PROBES, WIDTH, SEED = 10, 24, 3, 3.0, 20240229
 #: Classes of a bucket from which it is compared in blocks of so many.
 CROWD = 4096
+#: Look-ups of a task, and least number of tasks, when buckets are compared.
+TASK, TASKS = 1 << 19, 64
 #: Signs of a sketch, and copies up to which their ids are broadcast (8 MB); more are joined by a shuffle.
 BITS, FEW = 128, 1 << 20
 #: Similarity down to which hashing finds neighbours.
@@ -121,9 +123,15 @@ def candidates(classes: DataFrame, min_similarity: float, crowd: int = CROWD) ->
         met = left.join(right, list(key)).where((F.col("rep") != F.col("from")) & (apart <= near))
         return met.select(F.least("rep", "from").alias("a"), F.greatest("rep", "from").alias("b"))
 
+    # As many tasks as there are look-ups for; without a crowded bucket none of them is large.
+    tasks = max(TASKS, -(-classes.count() * TABLES * (2 + PROBES) // TASK))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "bucket")
+
     crowded = cut(stored.groupBy("bucket").agg(F.ceil(F.count("*") / crowd).alias("blocks")).where("blocks > 1"))
     if crowded.isEmpty():
-        return meet(stored, looking, "bucket").distinct()
+        return meet(spread(stored), spread(looking), "bucket").distinct()
 
     visits = looking.join(small(crowded), "bucket").groupBy("bucket", "blocks").agg(F.ceil(F.count("*") / crowd).alias("visits"))
     hot = small(cut(visits))
@@ -134,7 +142,8 @@ def candidates(classes: DataFrame, min_similarity: float, crowd: int = CROWD) ->
 
     members = stored.join(hot, "bucket").select("rep", "s1", "s2", "bucket", *blocks("visits", "blocks", "rep", "m", "v"))
     visitors = looking.join(hot, "bucket").select("from", "f1", "f2", "bucket", *blocks("blocks", "visits", "from", "v", "m"))
-    calm = meet(stored.join(small(crowded), "bucket", "left_anti"), looking, "bucket")
+    few = small(crowded.select("bucket"))
+    calm = meet(spread(stored.join(few, "bucket", "left_anti")), spread(looking.join(few, "bucket", "left_anti")), "bucket")
     return calm.unionByName(meet(members, visitors, "bucket", "m", "v")).distinct()
 
 

@@ -5,6 +5,11 @@ from pyspark.sql import functions as F
 from bookwright.llm import neighbors
 
 
+@pytest.fixture(autouse=True)
+def few_tasks(monkeypatch):
+    monkeypatch.setattr(neighbors, "TASKS", 4)
+
+
 def exact(ids, x, k, least):
     """Pairs by brute force; of equal similarities the lower id first."""
     pairs = set()
