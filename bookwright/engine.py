@@ -158,7 +158,7 @@ class Engine:
 
     def _scan(self, collection: str) -> DataFrame:
         self._pinned(collection)
-        return exporting.scan(self.store.chunks([collection]), self.store.documents([collection]))
+        return exporting.scan(self.store.chunks([collection]), self.store.documents([collection]), ordered=False)
 
     def export_folder(self, collection: str, path: str) -> None:
         """Chunks as JSON lines, one folder for each document; beside them a manifest of documents and the settings."""

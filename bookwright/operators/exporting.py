@@ -39,11 +39,12 @@ def vector_literal(vector: Column) -> Column:
     return run(vector)
 
 
-def scan(chunks: DataFrame, documents: DataFrame, collection: str | None = None) -> DataFrame:
-    """All chunks with their documents, by path and place."""
+def scan(chunks: DataFrame, documents: DataFrame, collection: str | None = None, ordered: bool = True) -> DataFrame:
+    """All chunks with their documents, by path and place unless their order doesn't matter, which saves a sort of all vectors."""
     docs = documents if collection is None else documents.where(F.col("collection") == collection)
     docs = docs.select(F.col("doc_id").alias("document_id"), "collection", "source_path", "source_name")
-    return chunks.join(docs, "document_id").select("collection", "source_path", "source_name", "seq", "chunk_id", "text", "token_count", "section_title", "heading_path", "embedding").orderBy("source_path", "seq", "chunk_id")
+    found = chunks.join(docs, "document_id").select("collection", "source_path", "source_name", "seq", "chunk_id", "text", "token_count", "section_title", "heading_path", "embedding")
+    return found.orderBy("source_path", "seq", "chunk_id") if ordered else found
 
 
 def books(documents: DataFrame) -> DataFrame:

@@ -635,7 +635,7 @@ def export_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered("select collection, count(distinct source_path) as documents, count(*) as chunks from chunks c join documents d on d.doc_id = c.document_id group by collection")
 def export_counts(spark: SparkSession, folder: str) -> DataFrame:
-    found = exporting.scan(table(spark, folder, "chunks"), table(spark, folder, "documents"))
+    found = exporting.scan(table(spark, folder, "chunks"), table(spark, folder, "documents"), ordered=False)
     return found.groupBy("collection").agg(F.countDistinct("source_path").alias("documents"), F.count("*").alias("chunks"))
 
 
@@ -692,7 +692,7 @@ select 'u' || '' as owner, c.chunk_id, k.book as source_book, case when regexp_m
 from chunks c join documents d on d.doc_id = c.document_id join k on k.collection = d.collection and k.source_path = d.source_path where not k.reserved and k.n = 1""")
 def library_rows(spark: SparkSession, folder: str) -> DataFrame:
     named = exporting.books(table(spark, folder, "documents", "collection", "source_path", "source_name").where("source_name is not null")).where("skipped is null").select("collection", "source_path", "book", "category")
-    found = exporting.scan(table(spark, folder, "chunks"), table(spark, folder, "documents")).join(named, ["collection", "source_path"])
+    found = exporting.scan(table(spark, folder, "chunks"), table(spark, folder, "documents"), ordered=False).join(named, ["collection", "source_path"])
     rows = exporting.library_rows(found, "00000000-0000-4000-8000-000000000001", F.col("book"), F.col("category"))
     return rows.select(F.lit("u").alias("owner"), "chunk_id", "source_book", "category", "section_title", "token_count", F.md5("content").alias("digest"))
 
