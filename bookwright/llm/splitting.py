@@ -257,11 +257,6 @@ def sizes(df: DataFrame, id_column: str = "id", text_column: str = "text", width
     return both.groupBy("id").agg(F.max(size).cast("bigint").alias("size"))
 
 
-def oversized(df: DataFrame, limit: int = 512, id_column: str = "id", text_column: str = "text", width: int = RANGE) -> DataFrame:
-    """``id`` of every text larger than ``limit``."""
-    return sizes(df, id_column, text_column, width).where(F.col("size") > limit).select("id")
-
-
 # Pieces
 
 _PLACED = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("span", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("heading_path", _PATH), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())])
@@ -276,6 +271,16 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, shape, strict=True)], schema=shape)
 
 
+def cut_text(text: str, limit: int, overlap: int) -> tuple[Table, list[tuple[int, int]]]:
+    """The table of a whole text, and its pieces; a blank one is one piece."""
+    table = detect("", text, "")
+    if not table.words:
+        return table, [(0, len(text))]
+    spans = max(1, len(text) // SPAN)
+    cuts = [0, *(anchor(table, k * SPAN) for k in range(1, spans)), len(text)]
+    return table, [p for k in range(spans) for p in cut_span(table, cuts[k], cuts[k + 1], limit, overlap)]
+
+
 def _short_pieces(rows: DataFrame, limit: int, overlap: int) -> DataFrame:
     """The pieces of texts that are one range, without a shuffle."""
 
@@ -284,10 +289,7 @@ def _short_pieces(rows: DataFrame, limit: int, overlap: int) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 text = r["text"]
-                table = detect("", text, "")
-                spans = max(1, len(text) // SPAN)
-                cuts = [0, *(anchor(table, k * SPAN) for k in range(1, spans)), len(text)]
-                found = [p for k in range(spans) for p in cut_span(table, cuts[k], cuts[k + 1], limit, overlap)]
+                table, found = cut_text(text, limit, overlap)
                 for n, (a, b, path) in enumerate(_pathed(table, found, r["path"], [])):
                     out.append((r["id"], n, a, b, text[a:b], size_of(b - a, len(text[a:b].split())), path))
             yield _batch(out, _PIECES)
@@ -402,8 +404,31 @@ def pieces(df: DataFrame, limit: int = 512, overlap: int = 64, id_column: str =
     halo = _checked(limit, overlap)
     width = max(width, halo)
     rows = _once(_given(df, id_column, text_column, path_column))
-    short = _short_pieces(rows.where(F.length("text") <= width), limit, overlap)
-    return short.unionByName(pieces_of_ranges(_ranges(rows.where(F.length("text") > width), width, halo), limit, overlap))
+    long = (F.length("text") > width) & F.col("text").rlike(f"[^{BLANK}]")
+    return _short_pieces(rows.where(~long), limit, overlap).unionByName(pieces_of_ranges(_ranges(rows.where(long), width, halo), limit, overlap))
+
+
+def oversized(df: DataFrame, limit: int = 512, overlap: int = 64, id_column: str = "id", text_column: str = "text", width: int = RANGE) -> DataFrame:
+    """``id`` of every text larger than ``limit``: one that is cut into several pieces and isn't blank.
+
+    A text has several pieces just if its size is over the limit. Texts with too
+    few characters for that many words are not looked at. Null ids take no part;
+    of rows repeated under one id the largest text counts.
+    """
+    halo = _checked(limit, overlap)
+    width = max(width, halo)
+    rows = _given(df, id_column, text_column, "").where((F.length("text") >= 2 * most_words(limit)) & F.col("text").rlike(f"[^{BLANK}]"))
+    schema = T.StructType([T.StructField("id", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = (i for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(cut_text(text, limit, overlap)[1]) > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64())], names=["id"])
+
+    short = rows.where(F.length("text") <= width).select("id", "text").mapInArrow(run, schema)
+    tables = cut(_tables(_ranges(rows.where(F.length("text") > width), width, halo)).dropDuplicates([*_KEY, "part"]))
+    several = _placed(tables, limit, overlap).groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    return short.unionByName(several).distinct()
 
 
 def file_pieces(spark: SparkSession, paths: list[str], limit: int = 512, overlap: int = 64, width: int = 1 << 20) -> DataFrame:

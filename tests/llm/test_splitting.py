@@ -13,7 +13,7 @@ def size(text):
 def texts():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
-    out = [None, "", "  \n ", "short", "x" * 5000, "漢" * 3000, " " * 4000 + "a", "a b\x1cc d " * 400]
+    out = [None, "", "  \n ", " " * 3000, "short", "x" * 5000, "漢" * 3000, " " * 4000 + "a", "a b\x1cc d " * 400]
     for _ in range(6):
         text = ""
         for _ in range(rng.randint(100, 900)):
@@ -28,7 +28,10 @@ def test_sizes_in_ranges(spark):
     expected = {i: size(t or "") for i, t in rows}
     for width in (64, 1000, splitting.RANGE):
         assert {r["id"]: r["size"] for r in splitting.sizes(df, width=width).collect()} == expected
-    assert {r["id"] for r in splitting.oversized(df, 512).collect()} == {i for i, s in expected.items() if s > 512}
+    for limit, width in ((512, splitting.RANGE), (128, splitting.HALO), (16, 1 << 16)):
+        assert {r["id"] for r in splitting.oversized(df.unionByName(df), limit, 8, width=width).collect()} == {i for i, s in expected.items() if s > limit}
+    blank = spark.createDataFrame([(1, " " * 200_000), (2, " " * 200_000 + "a")], "id long, text string")
+    assert [r["id"] for r in splitting.oversized(blank).collect()] == [2]
 
 
 def check(own, text, limit, overlap):
@@ -46,7 +49,7 @@ def check(own, text, limit, overlap):
 
 def test_pieces(spark):
     rows = [(n, t, ["H"]) for n, t in enumerate(texts())]
-    rows += [(0, None, ["H"]), (3, "short", ["H"])]
+    rows += [(0, None, ["H"]), (4, "short", ["H"])]
     df = spark.createDataFrame(rows, "id long, text string, heading_path array<string>").withColumn("seq", F.lit("x"))
     results = []
     for width in (splitting.HALO, splitting.RANGE, 1 << 16):
