@@ -121,7 +121,7 @@ def library_rows(chunks: DataFrame, owner: str, book: Column, kind: Column) -> D
 
 # A Postgres table with vectors
 
-#: Columns of the table, as the target declares them, and what the staging table's column of the name becomes.
+# The columns of the target's table, as it declares them; and what the staging table's column of the name becomes.
 _COLUMNS = {
     "collection": ("text NOT NULL", "{}"), "chunk_id": ("text NOT NULL", "{}"), "source_name": ("text NOT NULL", "{}"), "source_path": ("text NOT NULL", "{}"), "content": ("text NOT NULL", "{}"),
     "token_count": ("integer NOT NULL DEFAULT 0", "{}"), "page_start": ("integer", "{}"), "page_end": ("integer", "{}"), "section_title": ("text NOT NULL DEFAULT ''", "{}"),
@@ -238,6 +238,8 @@ def staged(rows: DataFrame, url: str, table: str, batch: int = 500, **options: s
 class Library:
     """The books and chunks of one owner in a REST library; one line, used by one task."""
 
+    # Fixed values in what follows: names of tables, columns and operators of the interface.
+
     def __init__(self, url: str, key: str, timeout: float = 60.0):
         at = urllib.parse.urlsplit(url)
         kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
